@@ -120,3 +120,26 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.dartminhash import groups
 
     return groups(_contents(spark, d)).withColumnRenamed("id", "repo_id")
+
+
+# ---------------------------------------------------------------- 5
+
+
+def _places_meant(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.canonical import match_canonical, place_entries
+
+    owners = table(spark, d, "owners").select("account_id", F.col("owner_location").alias("value")).where(F.trim("value") != "")
+    matched = match_canonical(owners, "value", place_entries(table(spark, d, "places")))
+    return owners.join(matched, "value")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The place each typed location means, -1 for none."""
+    return _places_meant(spark, d).select("account_id", F.col("entry_id").alias("place_id"))
+
+
+@query
+def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Typed locations that mean no listed place, with the number of accounts."""
+    return _places_meant(spark, d).where("entry_id = -1").groupBy("value").agg(F.count("*").alias("accounts"))

@@ -143,3 +143,72 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """Typed locations that mean no listed place, with the number of accounts."""
     return _places_meant(spark, d).where("entry_id = -1").groupBy("value").agg(F.count("*").alias("accounts"))
+
+
+# ---------------------------------------------------------------- 7
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of different written companies that name the same organisation."""
+    from lodestrata.llm.names import link_names, variant_pairs
+
+    pairs = variant_pairs(link_names(table(spark, d, "owners"), "owner_company"))
+    return pairs.select(F.col("name_a").alias("company_a"), F.col("name_b").alias("company_b"))
+
+
+@query
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The organisation behind each written company."""
+    from lodestrata.llm.names import link_names
+
+    return link_names(table(spark, d, "owners"), "owner_company")
+
+
+# ---------------------------------------------------------------- 8 and 9
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.packing import pack_documents
+    from lodestrata.llm.tokens import token_counts
+
+    counted = token_counts(table(spark, d, "documents"), ["doc_id"], "text")
+    return pack_documents(counted, "doc_id", table(spark, d, "container_sizes"))
+
+
+@query
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, for each container size."""
+    return _packed(spark, d)
+
+
+@query
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    from lodestrata.llm.packing import fill_report
+
+    return fill_report(_packed(spark, d), table(spark, d, "container_sizes"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    from lodestrata.llm.mixing import mix_sources
+    from lodestrata.llm.tokens import token_counts
+
+    docs = table(spark, d, "documents")
+    h = docs.withColumn("key", F.coalesce("text", F.lit("")))
+    counted = token_counts(h.withColumn("text_key", F.concat(F.hex(F.xxhash64("key")), F.hex(F.xxhash64(F.lit(1), F.reverse("key"))))), ["doc_id", "source", "text_key"], "text")
+    return mix_sources(counted, "doc_id", "text_key", "source", table(spark, d, "mix_targets"))
+
+
+@query
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of each mix with their number of copies."""
+    return _mixed(spark, d)
+
+
+@query
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached by each mix."""
+    from lodestrata.llm.mixing import mix_report
+
+    return mix_report(_mixed(spark, d), table(spark, d, "mix_targets"))

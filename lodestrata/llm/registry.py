@@ -212,3 +212,56 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.mixing import mix_report
 
     return mix_report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
+# ---------------------------------------------------------------- 4
+
+
+def _language_model(docs: DataFrame):
+    from lodestrata.llm.language import train
+
+    return train(docs, "doc_id", "text", "lang")
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of documents with a missing or wrong label or a mixed text."""
+    from lodestrata.llm.language import identify, wrong_labels
+
+    docs = table(spark, d, "documents")
+    return wrong_labels(identify(docs, "text", _language_model(docs), ["doc_id", "lang"]), "doc_id", "lang")
+
+
+@query
+def p4_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of every document with their language and confidence."""
+    from lodestrata.llm.language import segments
+
+    docs = table(spark, d, "documents")
+    return segments(docs, "doc_id", "text", _language_model(docs))
+
+
+# ---------------------------------------------------------------- 10
+
+
+def _levels(spark: SparkSession, d: str, sources: list[str] | None) -> DataFrame:
+    from lodestrata.llm.readability import fit_levels, reading_levels
+
+    docs = table(spark, d, "documents")
+    cuts = fit_levels(table(spark, d, "reading_samples"), "text", "reading_level")
+    chosen = docs.where(F.col("source").isin(sources)) if sources else docs
+    return reading_levels(chosen, "doc_id", "text", cuts, _language_model(docs))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The reading level of the English documents of four sources."""
+    return _levels(spark, d, ["wiki_page", "tutorial", "contributing_guide", "faq"]).select("doc_id", "reading_level")
+
+
+@query
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    """English documents and words of the corpus by source and reading level."""
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    levels = _levels(spark, d, None).join(docs, "doc_id")
+    return levels.groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))

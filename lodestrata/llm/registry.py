@@ -265,3 +265,31 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source")
     levels = _levels(spark, d, None).join(docs, "doc_id")
     return levels.groupBy("source", "reading_level").agg(F.count("*").alias("documents"), F.sum("words").alias("words"))
+
+
+# ---------------------------------------------------------------- 6
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    """Both fields in one table. A repository's readme stays over its fetches: rows may repeat."""
+    bios = table(spark, d, "owners").select(F.lit("owner_bio").alias("field"), F.col("account_id").alias("ref_id"), F.col("owner_bio").alias("text"))
+    readmes = table(spark, d, "repositories").select(F.lit("readme_content").alias("field"), F.col("repo_id").alias("ref_id"), F.col("readme_content").alias("text"))
+    return bios.unionByName(readmes).where("text <> ''")
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where personal values stand in bios and readmes."""
+    from lodestrata.llm.privacy import learn, personal_values
+
+    texts = _personal(spark, d)
+    return personal_values(texts, ["field", "ref_id"], "text", learn(texts, "text")).select("field", "ref_id", "kind", "start_pos").distinct()
+
+
+@query
+def p6_sanitized(spark: SparkSession, d: str) -> DataFrame:
+    """Bios and readmes with placeholders."""
+    from lodestrata.llm.privacy import learn, sanitize
+
+    texts = _personal(spark, d)
+    return sanitize(texts, ["field", "ref_id"], "text", learn(texts, "text")).distinct()

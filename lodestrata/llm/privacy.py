@@ -275,9 +275,10 @@ def persons(text: str, plain: str, spans: list[tuple[int, int, str]], terms: Tab
     # whoever stands right before an address, of mail or of a street, is disclosed by it
     for a, _, kind in spans:
         before = {"email": _BEFORE_EMAIL, "street_address": _BEFORE_ADDRESS}.get(kind)
-        m = before.search(plain, max(0, a - 64, plain.rfind("\n", 0, a) + 1), a) if before else None
+        lo = max(0, a - 64, plain.rfind("\n", 0, a) + 1)
+        m = before.search(plain[lo:a]) if before else None
         if m:
-            s, e = m.span(1)
+            s, e = lo + m.start(1), lo + m.end(1)
             e -= len(m.group(1)) - len(m.group(1).rstrip(" ,"))
             if not any(x < e and y > s for x, y, _ in out) and not any(x < e and y > s for x, y, _ in spans):
                 out.append((s, e, "person_name"))

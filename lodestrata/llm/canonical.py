@@ -170,6 +170,9 @@ def match_canonical(values: DataFrame, value: str, entries: DataFrame, *, simila
     a, b = typed.select("phrase", F.col("grams").alias("ga")), kept.select("form", F.col("grams").alias("gb")).distinct()
     both = met.join(a, "phrase").join(b, "form").withColumn("common", F.size(F.array_intersect("ga", "gb")))
     both = both.withColumn("either", F.size("ga") + F.size("gb") - F.col("common")).where(F.col("common") * den >= F.col("either") * num)
+    # a swap is two edits to the built-in distance, which screens the pairs inside the JVM
+    close = F.abs(F.length("phrase") - F.length("form")) <= max_edits
+    both = both.where(close & (F.levenshtein("phrase", "form", 2 * max_edits) >= 0))
     both = both.select("phrase", "form", "common", "either").withColumn("edits", F.pandas_udf(_edits_of, "int")("phrase", "form"))
     both = both.where((F.col("edits") <= max_edits) & (F.col("edits") * letters_per_edit <= F.length("form")))
     sure = both.select("phrase", "form", (F.col("common") / F.col("either")).alias("score"), "edits")

@@ -127,12 +127,12 @@ def _condition(t: Term, fields: dict, kinds: dict[str, str]) -> Column:
     else:
         of, x = (_number, c) if how == "number" else (_day, utc_date(c))
         out = reduce(Column.__and__, (_COMPARE[op](x, F.lit(b)) for op, b in _bounds(v, of)), F.lit(True))
-    out = F.coalesce(out, F.lit(False))
-    return ~out if t.negated else out
+    # a plain comparison reaches the files; only a negated term has to settle nulls itself
+    return ~F.coalesce(out, F.lit(False)) if t.negated else out
 
 
 def condition(search: Search | str, df: DataFrame, fields: dict = REPOSITORY) -> Column:
-    """The conjunction of a search's terms over the columns of ``df``; a null value meets no term."""
+    """The conjunction of a search's terms over the columns of ``df``. A null value meets no term: the condition is then null or false."""
     s = parse(search) if isinstance(search, str) else search
     return reduce(Column.__and__, (_condition(t, fields, dict(df.dtypes)) for t in s.terms), F.lit(True))
 

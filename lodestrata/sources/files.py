@@ -56,7 +56,7 @@ def _inner(ddl: str) -> str:
 
 def users_file(spark: SparkSession, path: str, max_users: int | None = None) -> DataFrame:
     """``username, ord`` of a saved account list: text as it is (``007``, ``NA``), repeats kept, in file order."""
-    lines = spark.read.schema("username string").option("header", True).option("nullValue", None).option("emptyValue", "").csv(path)
+    lines = spark.read.schema("username string").option("header", True).option("escape", "\"").option("emptyValue", "").csv(path)
     numbered = lines.where(F.col("username").isNotNull()).select("username", F.monotonically_increasing_id().alias("ord"))
     if max_users is None:
         return numbered
@@ -66,5 +66,5 @@ def users_file(spark: SparkSession, path: str, max_users: int | None = None) ->
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A flat table written earlier, as CSV if the name says so, else Parquet; list columns are JSON text."""
     if path.rstrip("/").endswith(".csv"):
-        return spark.read.schema(STORED).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").option("nullValue", None).csv(path)
+        return spark.read.schema(STORED).option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
     return spark.read.parquet(path)

@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Most cut points of the chunked ranking. At most one row of work per cut point is added to a record.
-MAX_CUTS = 63
+#: Most cut points of the chunked ranking; finding a row's chunk takes eight comparisons.
+MAX_CUTS = 255
 #: Rows sampled for the cut points; a bound on what reaches the driver.
 CUT_SAMPLE = 4000
 
@@ -25,30 +25,36 @@ def _cuts(rows: DataFrame, n_rows: int, chunk_rows: int) -> list:
     if want < 1:
         return []
     share = min(1.0, CUT_SAMPLE / max(1, n_rows))
-    got = [tuple(r) for r in rows.select("__q", "__id").sample(fraction=share, seed=7).limit(2 * CUT_SAMPLE).collect()]
+    got = [tuple(r) for r in rows.select("q", "id").sample(fraction=share, seed=7).limit(2 * CUT_SAMPLE).collect()]
     got.sort(key=lambda r: (-r[0], r[1]))
     return [got[len(got) * (i + 1) // (want + 1)] for i in range(want)] if len(got) > want else []
 
 
-def chunked_rank(df: DataFrame, keys: list[str], quality: str, ident: str, n_rows: int, chunk_rows: int = 200_000) -> DataFrame:
-    """Adds ``__rank``: 1 for the best row of its ``keys`` by ``quality`` (high first, null
-    below everything), then ``ident`` (low first). No task sees more than a chunk of a group."""
-    rows = df.withColumns({"__q": F.coalesce(F.col(quality).cast("double"), F.lit(float("-inf"))), "__id": F.col(ident)})
-    cuts = _cuts(rows, n_rows, chunk_rows)
-    chunk: Column = F.lit(0)
-    for q, i in cuts:
-        # a row lies behind the cut point when it ranks after it
-        chunk = chunk + F.when((F.col("__q") < F.lit(q)) | ((F.col("__q") == F.lit(q)) & (F.col("__id") > F.lit(i))), 1).otherwise(0)
-    rows = rows.withColumn("__chunk", chunk)
-    inside = Window.partitionBy(*keys, "__chunk").orderBy(F.desc("__q"), F.asc("__id"))
+def _chunk(key: Column, cuts: list, low: int = 0, high: int | None = None) -> Column:
+    """How many cut points a row ranks after, by halving."""
+    high = len(cuts) if high is None else high
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    after = key > F.struct(F.lit(-cuts[mid][0]).alias("a"), F.lit(cuts[mid][1]).alias("b"))
+    return F.when(after, _chunk(key, cuts, mid + 1, high)).otherwise(_chunk(key, cuts, low, mid))
+
+
+def chunked_rank(df: DataFrame, keys: list[str], n_rows: int, chunk_rows: int = 200_000) -> DataFrame:
+    """Adds ``rank``: 1 for the best row of its ``keys`` by ``q`` (high first), then ``id``
+    (low first). Neither may be null. No task sees more than a chunk of a group."""
+    cuts = _cuts(df, n_rows, chunk_rows)
+    rows = df.withColumn("chunk", _chunk(F.struct((-F.col("q")).alias("a"), F.col("id").alias("b")), cuts))
+    inside = Window.partitionBy(*keys, "chunk").orderBy(F.desc("q"), F.asc("id"))
+    ranked = rows.withColumn("rank", F.row_number().over(inside).cast("long"))
     if not cuts:
-        return rows.withColumn("__rank", F.row_number().over(inside).cast("long")).drop("__q", "__id", "__chunk")
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy(*keys, "__chunk").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "__chunk"]]
-    ranked = rows.withColumn("__pos", F.row_number().over(inside)).alias("r").join(offsets.alias("o"), on, "inner")
-    return ranked.select("r.*", (F.col("__pos") + F.col("__before")).alias("__rank")).drop("__q", "__id", "__chunk", "__pos")
+        return ranked.drop("chunk")
+    before = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys, "chunk").agg(F.count("*").alias("n"))
+    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, "chunk"]]
+    both = ranked.alias("r").join(offsets.alias("o"), on, "inner")
+    return both.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("r.rank") + F.col("o.before")).alias("rank"))
 
 
 def apportion(sizes: DataFrame, keys: list[str], cap: Column) -> DataFrame:
@@ -88,36 +94,34 @@ def cap_contributors(df: DataFrame, contributor: str, quality: str, ident: str,
     """``df`` with a column ``kept``: false where the record exceeds its contributor's cap.
 
     ``max_share=(a, b)`` caps at ``floor(N * a / b)`` of the ``N`` rows, ``max_count`` at a
-    number; with both the smaller holds. ``ident`` must be unique and numeric; ``quality``
-    numeric, nulls rank last, ties go to the smaller ``ident``. A null contributor is a
-    contributor of its own; a null stratum is a stratum of its own. An empty table stays
-    empty. Other columns pass through; names beginning with ``__`` and the names
-    ``kept`` and ``stratum`` are reserved and an input column of that name is an error.
+    number; with both the smaller holds. ``ident`` must be unique and an integer (rows with a
+    null one rank last, in no order); ``quality`` numeric, nulls and NaN rank last, ties go
+    to the smaller ``ident``. A null contributor is a contributor of its own, a null
+    stratum a stratum of its own. An empty table stays empty. All other columns pass
+    through, whatever their names; an input column ``kept`` is replaced.
     """
-    taken = [c for c in df.columns if c.startswith("__") or c in ("kept", "stratum")]
-    if taken:
-        raise ValueError(f"reserved column names in the input: {taken}")
     if max_count is None and max_share is None:
         raise ValueError("give max_count or max_share")
-    rows = df.withColumn("stratum", (stratum if stratum is not None else F.lit("all")).cast("string"))
-    rows = rows.withColumn("__owner", F.col(contributor))
-    totals = rows.groupBy("__owner").agg(F.count("*").alias("__n"))
-    n = totals.agg(F.sum("__n")).first()[0] or 0
+    columns = [c for c in df.columns if c != "kept"]
+    q = F.col(quality).cast("double")
+    rows = df.select(
+        F.struct(*columns).alias("row"), F.col(contributor).alias("owner"), (stratum if stratum is not None else F.lit("all")).cast("string").alias("stratum"),
+        F.when(q.isNull() | F.isnan(q), F.lit(float("-inf"))).otherwise(q).alias("q"), F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1)).alias("id"),
+    )
+    totals = rows.groupBy("owner").agg(F.count("*").alias("n"))
+    n = totals.agg(F.sum("n")).first()[0] or 0
     cap = min(x for x in (max_count, n * max_share[0] // max_share[1] if max_share else None) if x is not None)
-    hot = totals.where(F.col("__n") > cap)
-    if max_share:  # each hot contributor holds more than cap of N rows, so they are at most N / (cap + 1)
-        hot = F.broadcast(hot) if n // (cap + 1) <= 10_000 else hot
-    hot = hot.select(F.col("__owner").alias("__hot"), F.lit(True).alias("__is_hot"))
-    marked = rows.join(hot, F.col("__owner").eqNullSafe(F.col("__hot")), "left").drop("__hot")
-    calm = marked.where(F.col("__is_hot").isNull()).drop("__is_hot").withColumn("kept", F.lit(True))
-    busy = marked.where(F.col("__is_hot")).drop("__is_hot")
-    sizes = busy.groupBy("__owner", "stratum").agg(F.count("*").alias("n"))
-    slots = apportion(sizes, ["__owner"], F.lit(cap)).drop("n")
-    ranked = chunked_rank(busy, ["__owner", "stratum"], quality, ident, n, chunk_rows)
-    s = slots.select(F.col("__owner").alias("__so"), F.col("stratum").alias("__ss"), "slots")
-    judged = ranked.join(s, F.col("__owner").eqNullSafe(F.col("__so")) & F.col("stratum").eqNullSafe(F.col("__ss")), "inner")
-    judged = judged.withColumn("kept", F.col("__rank") <= F.col("slots")).drop("__so", "__ss", "slots", "__rank")
-    return calm.unionByName(judged).drop("__owner", "stratum")
+    hot = totals.where(F.col("n") > cap).select(F.col("owner").alias("hot"), F.lit(True).alias("is_hot"))
+    # a hot contributor holds more than cap of the n rows, so there are at most n / (cap + 1)
+    hot = F.broadcast(hot) if n // (cap + 1) <= 10_000 else hot
+    marked = rows.join(hot, F.col("owner").eqNullSafe(F.col("hot")), "left").drop("hot")
+    calm = marked.where("is_hot is null").select("row", F.lit(True).alias("kept"))
+    busy = marked.where("is_hot").drop("is_hot")
+    sizes = busy.groupBy("owner", "stratum").agg(F.count("*").alias("n"))
+    slots = apportion(sizes, ["owner"], F.lit(cap)).select(F.col("owner").alias("so"), F.col("stratum").alias("ss"), "slots")
+    ranked = chunked_rank(busy, ["owner", "stratum"], n, chunk_rows)
+    judged = ranked.join(slots, F.col("owner").eqNullSafe(F.col("so")) & F.col("stratum").eqNullSafe(F.col("ss")), "inner")
+    return calm.unionByName(judged.select("row", (F.col("rank") <= F.col("slots")).alias("kept"))).select("row.*", "kept")
 
 
 def latest(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -38,7 +38,7 @@ KEPT = 5
 class Darts:
     """``bands`` of ``rows`` coordinates. ``rare``: share of texts below which an element has full weight."""
 
-    bands: int = 48
+    bands: int = 56
     rows: int = 4
     rare: float = 0.01
     power: float = 2.0
@@ -67,6 +67,10 @@ def packed_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return unpack(data), (offsets - offsets[0]) // KEPT
 
 
+#: Strips of the weight axis, each with darts of its own, so that a text of light elements throws few in vain.
+STRIPS = ((0.0, 0.125), (0.125, 1.0))
+
+
 def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """DartMinHash of ragged weighted sets, one row of ``k`` dart names per set; 0 where no dart fell.
 
@@ -77,29 +81,46 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int
     n = len(starts) - 1
     best = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
     sizes = np.diff(starts)
-    owner = np.repeat(np.arange(n), sizes)
-    total = np.bincount(owner, weights, minlength=n)
-    bound = np.divide(k * math.log(k) + 2 * k, total, out=np.zeros(n), where=total > 0)[owner]
-    rank = np.zeros(len(keys))
-    base, w = keys, weights
-    turn = 0
-    while len(base):
-        turn += 1
-        h = mix(base + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        rank = rank - np.log(unit(h))
-        live = rank < bound
-        base, w, owner, bound, rank, h = base[live], w[live], owner[live], bound[live], rank[live], h[live]
-        place = mix(h ^ np.uint64(0xD6E8FEB86659FD93))
-        hit = unit(place) <= w
-        g = mix(place[hit])
-        cell = owner[hit] * k + (g % np.uint64(k)).astype(np.int64)
-        order = rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
-        np.minimum.at(best, cell, order | (g >> np.uint64(32)))
+    owners = np.repeat(np.arange(n), sizes)
+    total = np.bincount(owners, weights, minlength=n)
+    bounds = np.divide(k * math.log(k) + 2 * k, total, out=np.zeros(n), where=total > 0)[owners]
+    for strip, (low, high) in enumerate(STRIPS):
+        into = weights > low
+        base, w, owner, bound = keys[into] ^ np.uint64(strip * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF), weights[into], owners[into], bounds[into]
+        rank = np.zeros(len(base))
+        turn = 0
+        while len(base):
+            turn += 1
+            h = mix(base + np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            rank = rank - np.log(unit(h)) / (high - low)
+            live = rank < bound
+            base, w, owner, bound, rank, h = base[live], w[live], owner[live], bound[live], rank[live], h[live]
+            place = mix(h ^ np.uint64(0xD6E8FEB86659FD93))
+            hit = low + unit(place) * (high - low) <= w
+            g = mix(place[hit])
+            cell = owner[hit] * k + (g % np.uint64(k)).astype(np.int64)
+            order = rank[hit].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+            np.minimum.at(best, cell, order | (g >> np.uint64(32)))
     names = best & np.uint64(0xFFFFFFFF)
     names[best == np.iinfo(np.uint64).max] = 0
     return names.reshape(n, k)
 
 
+def level(weights: np.ndarray, starts: np.ndarray, share: float) -> np.ndarray:
+    """No element of a set weighs more than the set's quantile ``share``.
+
+    Two texts of similarity t have between t (one holds the other) and 2t / (1 + t) (like
+    sizes) of their elements in common; the share between the two is used. In a large family of near copies the common elements are frequent, so light;
+    what single edits bring in is rare, so heavy, and would hide the likeness. The cap
+    takes that weight away, whatever the family's size.
+    """
+    out = np.empty_like(weights)
+    for a, b in zip(starts[:-1], starts[1:]):
+        w = weights[a:b]
+        out[a:b] = np.minimum(w, np.partition(w, m)[m]) if b > a and (m := min(b - a - 1, int(share * (b - a)))) >= 0 else w
+    return out
+
+
 def _sets(width: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -131,14 +152,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["slot", "df"])
 
 
-def _banded(table, darts: Darts):
+def _banded(table, darts: Darts, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = table.value
         for batch in batches:
             for at in range(0, len(batch), 400):
                 part = batch.slice(at, 400)
                 keys, starts = packed_column(part.column(1))
-                names = signatures(mix(keys), weight[_slot(keys)], starts, darts.k).reshape(len(part), darts.bands, darts.rows)
+                names = signatures(mix(keys), level(weight[_slot(keys)], starts, share), starts, darts.k).reshape(len(part), darts.bands, darts.rows)
                 h = np.arange(1, darts.bands + 1, dtype=np.uint64)[None, :].repeat(len(part), 0)
                 for i in range(darts.rows):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + names[:, :, i])
@@ -202,7 +223,8 @@ def near_duplicates(docs: DataFrame, ident: str, text: str, *, width: int = 5, t
     rarity = np.log(1 / np.clip(share, darts.rare, 1.0)) / math.log(1 / darts.rare)
     table = docs.sparkSession.sparkContext.broadcast(np.maximum(darts.least, rarity**darts.power))
 
-    banded = sets.select("rep", "elements").mapInArrow(_banded(table, darts), "band long, rep long")
+    t = threshold[0] / threshold[1]
+    banded = sets.select("rep", "elements").mapInArrow(_banded(table, darts, (t + 2 * t / (1 + t)) / 2), "band long, rep long")
     x, y = banded.alias("x"), banded.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")))
     pairs = materialize(met.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct(), "pairs")

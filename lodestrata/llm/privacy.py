@@ -58,7 +58,7 @@ _LOGIN = re.compile(r"(?:\b(?:ssh|scp|sftp|rsync|git\s+clone|clone)\s(?:-\S+\s)*
 _HEAD, _TAIL = r"(?<![\w.\-/:,+(])", r"(?![\w/]|[-.:,]\d)"
 PHONE = re.compile(
     rf"{_HEAD}(?:\+\d{{1,3}}[\s.\-]?(?:\(\d{{1,4}}\)[\s.\-]?)?\d(?:[\s.\-]?\d){{6,12}}|\(\d{{2,5}}\)\s?\d{{3,4}}[\s.\-]?\d{{3,4}}"
-    rf"|0\d(?:[ .\-]\d\d){{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|00\d{{2}}[-. ]\d{{2,4}}[-. ]\d{{3,8}}(?:[-. ]\d{{1,4}})?|0\d{{2,4}}[ /]\d{{3,4}}[ -]?\d{{3,4}}){_TAIL}"
+    rf"|0\d(?:[ .\-]\d\d){{4}}|\d{{3}}[-.]\d{{3}}[-.]\d{{4}}|00[1-9]\d[-. ]\d{{2,4}}[-. ]\d{{3,8}}(?:[-. ]\d{{1,4}})?|0\d{{2,4}}[ /]\d{{3,4}}[ -]?\d{{3,4}}){_TAIL}"
 )
 ID_LABELLED = re.compile(rf"\b(?i:{ID_LABELS})\b[\s:.#№-]*(?:\b(?i:no|nr|number)\b[\s:.#]*)?((?:[A-Z]{{1,3}}[ -]?)?\d+(?:[ -]\d+)*[A-Z]?)(?![\w])")
 ID_SHAPE = re.compile(r"(?<![\w-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} \d{2} \d{2} \d{2} [A-D]|[A-Z]{2}-\d{6}-\d)(?![\w-])")
@@ -105,6 +105,8 @@ def patterned(text: str, plain: str) -> list[tuple[int, int, str]]:
             after = text[m.end() : m.end() + 2]
             if m.group(1).lower() == "git" or (after[:1] == ":" and after[1:2].strip()) or _LOGIN.search(text[max(0, m.start() - 24) : m.start()]):
                 continue
+            if " at " in m.group() and not re.search(r"[\d._+-]", m.group(1)):
+                continue  # plain words, as in "look at this dot"
             out.append((m.start(), m.end(), "email"))
     at = 0
     for line in plain.split("\n"):

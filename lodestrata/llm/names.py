@@ -77,15 +77,19 @@ def _kind_of(word: str) -> str | None:
     return next((k for k in KINDS if abs(len(k) - len(word)) <= 1 and edits(word, k) <= 1), None)
 
 
+def words_of(value: str) -> list[str]:
+    """All words of a name but remarks and fillers, legal forms included."""
+    text = _DOTTED.sub(lambda m: m.group().replace(".", ""), _NOTE.sub(" ", value))
+    words = _WORD.findall(fold(_CAMEL.sub(" ", text)))
+    return [w for w in words if w not in FILLER] or words
+
+
 def parse(value: str) -> tuple[list[str], str | None] | None:
     """Core words in the order written, and the kind; None if no organisation is named."""
-    text = _NOTE.sub(" ", value)
-    plain = " ".join(_WORD.findall(fold(text)))
+    plain = " ".join(_WORD.findall(fold(_NOTE.sub(" ", value))))
     if not plain or plain in NO_NAME:
         return None
-    text = _DOTTED.sub(lambda m: m.group().replace(".", ""), text)
-    words = _WORD.findall(fold(_CAMEL.sub(" ", text)))
-    words = [w for w in words if w not in FILLER] or words
+    words = words_of(value)
     kept = [w for i, w in enumerate(words) if i == 0 or w not in LEGAL] or words
     exact = [w for w in kept if w in _KIND]
     kinds = exact or [w for w in kept[-1:] + kept[:1] if _kind_of(w)][:1]
@@ -101,14 +105,14 @@ def nickname(core: list[str]) -> str:
     return stem + (core[1][:3] if len(core) > 1 else "y")
 
 
-def short_forms(core: list[str], kind: str) -> set[str]:
-    """Reduced writings of a full name."""
-    tail = "".join(w[0] for w in [*core[1:], kind])
-    out = {" ".join(sorted(core)), f"{core[0]} {tail}", nickname(core), core[0], "".join(core)}
-    if len(core) > 1:
-        out.add(f"{core[0]} {core[1][0]}")
-        out.add("".join(w[0] for w in [*core, kind]))
-    return {x for x in out if len(x) > 1}
+def short_forms(core: list[str], kind: str) -> dict[str, int]:
+    """Reduced writings of a full name with their grade, from 1 (the kind dropped) over
+    initials and nicknames to 4 (the first word alone)."""
+    out = {core[0]: 4, nickname(core): 3, "".join(w[0] for w in [*core, kind]): 3}
+    out |= {f"{core[0]} {core[1][0]}": 3} if len(core) > 1 else {}
+    out[f"{core[0]} {''.join(w[0] for w in [*core[1:], kind])}"] = 2
+    out |= {" ".join(sorted(core)): 1, "".join(core): 1}
+    return {x: g for x, g in out.items() if len(x) > 1}
 
 
 def slips(text: str) -> set[str]:
@@ -118,24 +122,28 @@ def slips(text: str) -> set[str]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[], [], [], []]
+        cols: list[list] = [[], [], [], [], []]
         for value in batch.column(0).to_pylist():
             if p := parse(value):
                 core, kind = p
-                for c, x in zip(cols, (value, " ".join(sorted(core)) + (f" #{kind}" if kind else ""), core, kind)):
+                for c, x in zip(cols, (value, " ".join(sorted(core)) + (f" #{kind}" if kind else ""), core, kind, " ".join(words_of(value)))):
                     c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.string())], names=["value", "key", "core", "kind"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["value", "key", "core", "kind", "said"])
 
 
 def _exploded(make):
+    """Rows (key, form, grade) of the forms ``make`` gives, with their grade or 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, out = [], []
+            keys, out, grades = [], [], []
             for key, core, kind in zip(*(c.to_pylist() for c in batch.columns)):
-                for f in make(core, kind):
+                made = make(core, kind)
+                for f in made:
                     keys.append(key)
                     out.append(f)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.string())], names=["key", "form"])
+                    grades.append(made[f] if isinstance(made, dict) else 0)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.string()), pa.array(grades, pa.int32())], names=["key", "form", "grade"])
 
     return run
 
@@ -170,15 +178,15 @@ def link_names(names: DataFrame, name: str, least_rarity: float = 1.0) -> DataFr
     that name no organisation (nulls, blanks, signs only, words for none) have no row. Names
     that are full (core words and a kind) and equal after rewriting are one; a full name one
     slip away from a more frequent one joins it; a reduced name joins the full name it is a
-    rewriting of, if the rarity of that rewriting - 1 / number of full names that share it -
-    is at least ``least_rarity``. Any other reduced name stays on its own. Repeated rows
+    rewriting of, the closest kind of rewriting first, if the rarity of that rewriting - 1 /
+    number of full names that share it - is at least ``least_rarity``. Any other reduced name stays on its own. Repeated rows
     count as frequency only; ties go to the smaller form. Other columns are ignored.
     """
     counts = names.select(F.col(name).cast("string").alias("value")).where(F.trim("value") != "").groupBy("value").agg(F.count("*").alias("n"))
-    parsed = materialize(counts.select("value").mapInArrow(_parsed, "value string, key string, core array<string>, kind string"), "names")
+    parsed = materialize(counts.select("value").mapInArrow(_parsed, "value string, key string, core array<string>, kind string, said string"), "names")
     keyed = parsed.join(counts, "value").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
     heads = parsed.groupBy("key").agg(F.min(F.struct("core", "kind")).alias("x")).select("key", "x.core", "x.kind")
-    schema = "key string, form string"
+    schema = "key string, form string, grade int"
     # one slip away: deletion forms, equi-joined and verified; the less frequent key follows the more frequent
     slip = heads.mapInArrow(_exploded(_slipped), schema).distinct()
     a, b = slip.select(F.col("key").alias("a"), "form"), slip.select(F.col("key").alias("b"), "form")
@@ -193,11 +201,16 @@ def link_names(names: DataFrame, name: str, least_rarity: float = 1.0) -> DataFr
     follow = follow.join(second, "to", "left").select(F.col("a").alias("key"), F.coalesce("far", "to").alias("entity"))
     settled = heads.join(follow, "key", "left").select("key", "core", "kind", F.coalesce("entity", "key").alias("entity"))
     settled = materialize(settled, "settled")
-    full = settled.where("kind is not null")
-    forms = full.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity")
-    rare = forms.groupBy("form").agg(F.count("*").alias("sharing"), F.min("entity").alias("to")).where(1 / F.col("sharing") >= least_rarity)
-    reduced = settled.where("kind is null").select("key", F.explode(F.array_distinct(F.array("key", F.array_join("core", " "), F.array_join("core", "")))).alias("form"))
-    joined = reduced.join(rare, "form").groupBy("key").agg(F.min_by("to", F.struct("sharing", F.col("to"))).alias("to"))
+    # every order in which an organisation was written has reduced forms of its own
+    orders = parsed.where("kind is not null").select("key", "core", "kind").distinct().join(settled.select("key", "entity"), "key")
+    forms = orders.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity")
+    rare = forms.groupBy("form", "grade").agg(F.count("*").alias("sharing"), F.min("entity").alias("to"))
+    # a legal form may also be initials, so the name is looked up with it as well
+    short = parsed.where("kind is null").select("key", "core", "said").distinct()
+    reduced = short.select("key", F.explode(F.array_distinct(F.array("said", "key", F.array_join("core", " "), F.array_join("core", "")))).alias("form")).distinct()
+    # of all organisations a name could be short for, those of the best grade; they must be rare enough
+    best = reduced.join(rare, "form").groupBy("key").agg(F.min_by(F.struct("sharing", "to"), F.struct("grade", "sharing", "to")).alias("x"))
+    joined = best.where(1 / F.col("x.sharing") >= least_rarity).select("key", F.col("x.to").alias("to"))
     entity = settled.join(joined, "key", "left").select("key", F.coalesce("to", "entity").alias("entity"))
     return parsed.select("value", "key").join(entity, "key").select("value", "entity")
 

@@ -55,6 +55,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path`` when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -64,6 +70,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

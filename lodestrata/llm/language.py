@@ -1,7 +1,8 @@
 """Document and segment languages (problem 4): nearest of several centroids per language.
 
-A word is the normalised TF-IDF vector of its letter runs (one to three letters, with the
-word's edges, and its script), a sentence the sum of its words, each weighted by the root
+A word is the normalised TF-IDF vector of its letter runs (one to four letters, with the
+word's edges, the whole word, and its script; runs that all languages use alike weigh
+little), a sentence the sum of its words, each weighted by the root
 of its length. Sentences are compared by cosine with clustered centroids of every language;
 a sentence whose distance to the nearest centroid is beyond what that language's own
 sentences show is rejected.
@@ -34,8 +35,8 @@ CLUSTERS = 6
 PHRASE_WORDS = 5
 #: Least lead of the best language, as a share of its cosine, for a sentence to count.
 LEAST_LEAD = 0.12
-#: Least lead of another language over the main language of the text.
-SWITCH_LEAD = 0.4
+#: Least lead of another language over the main language of the text, and for sentences of fewer than SHORT words.
+SWITCH_LEAD, SHORT_LEAD, SHORT = 0.4, 0.7, 6
 
 #: Names under which a language is declared, by two-letter code. Codes may carry a region.
 NAMES = {
@@ -118,6 +119,22 @@ def _axes(means: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return away, centre @ away
 
 
+def _telling(rows: list[tuple[int, list[str]]], vocab: dict[str, int], n_langs: int) -> np.ndarray:
+    """Weight of each dimension from how unevenly the languages use it (inverse class frequency):
+    near 0 if all use it alike, 1 if one alone does."""
+    use = np.zeros((n_langs, len(vocab)))
+    for k, words in rows:
+        for w in words:
+            use[k, vocab[w]] += 1 / len(words)
+    dims = [np.unique(dimensions(w)) for w in vocab]
+    flat, word = np.concatenate(dims), np.repeat(np.arange(len(vocab)), [len(d) for d in dims])
+    by = np.stack([np.bincount(flat, u[word], minlength=DIMENSIONS) for u in use])
+    by /= np.maximum(by.sum(axis=1, keepdims=True), 1e-9)
+    share = by / np.maximum(by.sum(axis=0), 1e-12)
+    entropy = -(share * np.log(np.maximum(share, 1e-12))).sum(axis=0) / np.log(max(2, n_langs))
+    return np.where(by.sum(axis=0) > 0, 0.05 + (1 - entropy) ** 2, 1.0)
+
+
 def fit(sample: list[tuple[str, list[str]]], least_rows: int = 3) -> Model:
     """``sample``: (language, words of a sentence). Languages with fewer than ``least_rows`` sentences are left out."""
     sizes: dict[str, int] = {}
@@ -131,6 +148,8 @@ def fit(sample: list[tuple[str, list[str]]], least_rows: int = 3) -> Model:
     for w in vocab:
         df[np.unique(dimensions(w))] += 1
     idf = np.log1p((1 + len(vocab)) / (1 + df))
+    if rows:
+        idf *= _telling(rows, vocab, len(langs))
     if not rows:
         none = np.zeros(0)
         return Model([], idf, np.zeros((DIMENSIONS, 0), np.float32), none, np.zeros(0, int), none)
@@ -218,7 +237,7 @@ def judge(best: np.ndarray, doc: np.ndarray, counts: np.ndarray, size: np.ndarra
     """Language of each sentence (-1: rejected) and its lead over the next, as a share of its cosine.
 
     The language that most words of a text are nearest to keeps a sentence of that text
-    unless another one leads it by ``SWITCH_LEAD``.
+    unless another one leads it by ``SWITCH_LEAD`` (``SHORT_LEAD`` where it is short).
     """
     n, langs = best.shape
     if not n or not langs:
@@ -231,7 +250,7 @@ def judge(best: np.ndarray, doc: np.ndarray, counts: np.ndarray, size: np.ndarra
     np.add.at(mass, (doc[good], top[good]), size[good])
     main = mass.argmax(1)[doc]
     lead_over_main = (high - np.maximum(best[at, main], 0)) / np.maximum(high, 1e-9)
-    stay = (top != main) & (mass.max(1)[doc] > 0) & (lead_over_main < SWITCH_LEAD)
+    stay = (top != main) & (mass.max(1)[doc] > 0) & ((lead_over_main < np.where(size < SHORT, SHORT_LEAD, SWITCH_LEAD)) | ((size < SHORT) & (high < 4 * floor[top])))
     top = np.where(stay, main, top)
     high = best[at, top]
     others = best.copy()

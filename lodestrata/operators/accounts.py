@@ -13,9 +13,14 @@ def first_occurrence(df: DataFrame, keys: list[str], order: list[Column | str])
     An aggregate with map-side combine, not a window: a key that holds a third of all rows
     is combined before the shuffle.
     """
-    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    row = F.min_by(F.struct(*df.columns), F.struct(*order_cols)).alias("__row")
-    return df.groupBy(*(F.col(k).alias(f"__{k}") for k in keys)).agg(row).select("__row.*")
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    if rest == order:  # nothing but the order travels: a hash aggregate of one value
+        return df.groupBy(*keys).agg(F.min(rest[0]).alias(rest[0])).select(*df.columns)
+    by = F.struct(*(F.col(o) if isinstance(o, str) else o for o in order))
+    row = F.min_by(F.struct(*rest), by).alias("__row")
+    return df.groupBy(*keys).agg(row).select(*keys, "__row.*").select(*df.columns)
 
 
 def valid_logins(df: DataFrame, login: str = "login") -> DataFrame:

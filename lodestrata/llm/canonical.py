@@ -155,7 +155,8 @@ def match_canonical(values: DataFrame, value: str, entries: DataFrame, *, simila
     def sets(df: DataFrame, split) -> DataFrame:
         out = df.toDF("key", "name").mapInArrow(_expand(split, freq), "key string, phrase string, grams array<string>")
         size = F.size("grams")
-        return out.withColumns({"size": size, "prefix": size - F.ceil(size * num / den).cast("int") + 1})
+        # an edit takes away three pairs at most, so both prefixes end after 3 * max_edits + 1 at the latest
+        return out.withColumns({"size": size, "prefix": F.least(size - F.ceil(size * num / den).cast("int") + 1, F.lit(3 * max_edits + 1))})
 
     spoken = sets(distinct.select("value", "value"), phrases)
     typed = spoken.select("phrase", "grams", "size", "prefix").distinct()

@@ -213,8 +213,9 @@ def near_duplicates(docs: DataFrame, ident: str, text: str, *, width: int = 5, t
     keyed = rows.select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.reverse("words")).alias("h2"))
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
     sets = materialize(classes.select("rep", "words").mapInArrow(_sets(width, min_elements), "rep long, n int, elements binary"), "sets")
-    reps = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    members = keyed.select("id", "h1", "h2").distinct().join(reps, ["h1", "h2"]).select("id", "rep").distinct()
+    ids = materialize(keyed.select("id", "h1", "h2").distinct(), "ids")
+    members = ids.join(ids.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
+    members = materialize(members, "members")
 
     counted = sets.select("elements").mapInArrow(_count, "slot int, df long").groupBy("slot").agg(F.sum("df").alias("df")).toArrow()
     total = max(1, sets.count())

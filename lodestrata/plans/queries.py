@@ -17,6 +17,7 @@ from lodestrata.schema import COLUMNS
 from lodestrata.session import shared_dir, table
 from lodestrata.sources import files, sinks
 from lodestrata.streaming import ingest as I
+from lodestrata.streaming.progress import observed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -409,6 +410,15 @@ def _is_folder(spark: SparkSession, d: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
 
 
+@query("SELECT count(*) AS scanned, count(*) FILTER (WHERE stars >= 10) AS matched FROM repositories")
+def observed_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts taken in flight while another job runs."""
+    df, seen = observed(repos(spark, d).select("stars"), F.col("stars") >= 10, f"counts-{uuid.uuid4().hex}")
+    df.write.format("noop").mode("overwrite").save()
+    got = seen.get
+    return spark.createDataFrame([(got["scanned"], got["matched"])], "scanned long, matched long")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Accounts at a place joined to their repositories."""
     return two_step_location(spark, d)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestrata.functions.scalars import error_text
 from lodestrata.operators.accounts import valid_logins
-from lodestrata.schema import ACCOUNT_PAGE, ENVELOPE, REPO_PAGE, STORED
+from lodestrata.schema import ACCOUNT_PAGE, ENVELOPE, QUOTA, REPO_PAGE, STORED, _colons
 
 
 def responses(spark: SparkSession, path: str, bad: str = "fail") -> DataFrame:
@@ -30,14 +30,14 @@ def responses(spark: SparkSession, path: str, bad: str = "fail") -> DataFrame:
 
 def repository_nodes(pages: DataFrame, field: str = "search") -> DataFrame:
     """``page_no, node`` of the repository pages in ``data``; null nodes dropped, numbered in page order of the file only if given as ``page_no``."""
-    page = F.from_json(F.col("data"), f"{field} STRUCT<{_inner(REPO_PAGE)}>")[field]
+    page = F.from_json(F.col("data"), f"{field} STRUCT<{_colons(REPO_PAGE)}>")[field]
     keep = ["page_no"] if "page_no" in pages.columns else []
     return pages.select(*keep, F.explode(page["nodes"]).alias("node")).where("node is not null")
 
 
 def account_nodes(pages: DataFrame, field: str = "search") -> DataFrame:
     """``login, kind`` of the account pages in ``data``; null nodes and empty logins dropped."""
-    page = F.from_json(F.col("data"), f"{field} STRUCT<{_inner(ACCOUNT_PAGE)}>")[field]
+    page = F.from_json(F.col("data"), f"{field} STRUCT<{_colons(ACCOUNT_PAGE)}>")[field]
     keep = ["page_no"] if "page_no" in pages.columns else []
     each = pages.select(*keep, F.posexplode(page["nodes"]).alias("pos", "n"))
     return valid_logins(each.select(*keep, "pos", F.col("n.login").alias("login"), F.col("n.__typename").alias("kind")))
@@ -48,10 +48,9 @@ def page_counts(pages: DataFrame, count: str, field: str = "search") -> DataFram
     return pages.select(F.get_json_object("data", f"$.{field}.{count}").cast("long").alias("cnt"))
 
 
-def _inner(ddl: str) -> str:
-    from lodestrata.schema import _colons
-
-    return _colons(ddl)
+def quota_records(pages: DataFrame) -> DataFrame:
+    """The quota each response reports: ``remaining, resetAt, limit, cost``; parts it does not report are null."""
+    return pages.select(F.from_json(F.get_json_object("data", "$.rateLimit"), QUOTA).alias("q")).where("q is not null").select("q.*")
 
 
 def users_file(spark: SparkSession, path: str, max_users: int | None = None) -> DataFrame:

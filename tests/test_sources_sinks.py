@@ -60,7 +60,7 @@ def test_users_file(spark, tmp_path):
 
 
 def test_responses(spark, tmp_path):
-    good = {"data": {"search": {"pageInfo": {"hasNextPage": False}, "userCount": 7, "nodes": [{"login": "a", "__typename": "User"}, None, {"login": ""}]}}}
+    good = {"data": {"rateLimit": {"remaining": 9, "resetAt": "2024-01-01T00:00:00Z"}, "search": {"pageInfo": {"hasNextPage": False}, "userCount": 7, "nodes": [{"login": "a", "__typename": "User"}, None, {"login": ""}]}}}
     repo = {"data": {"search": {"repositoryCount": 1, "nodes": [{"name": "r", "owner": {"login": "o", "__typename": "User"}}, None]}}}
     bad = {"data": None, "errors": [{"message": "x"}, {"message": "y"}]}
     (tmp_path / "ok.json").write_text(json.dumps(good) + "\n")
@@ -69,6 +69,7 @@ def test_responses(spark, tmp_path):
     ok = files.responses(spark, str(tmp_path / "ok.json"))
     assert [(r.login, r.kind) for r in files.account_nodes(ok).collect()] == [("a", "User")]
     assert files.page_counts(ok, "userCount").first().cnt == 7
+    assert [(r.remaining, r.limit) for r in files.quota_records(ok).collect()] == [(9, None)]
     nodes = files.repository_nodes(files.responses(spark, str(tmp_path / "repo.json")))
     assert [r.name for r in flatten(nodes).collect()] == ["r"]
     with pytest.raises(Exception, match="x; y"):
@@ -136,6 +137,25 @@ def test_distinct_stream_and_batches(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
+def test_progress(spark, tmp_path):
+    import time
+
+    from lodestrata.streaming.progress import Progress, observed
+
+    df, seen = observed(spark.range(10), F.col("id") > 6)
+    assert df.count() == 10 and seen.get == {"scanned": 10, "matched": 3}
+    spark.range(5).write.parquet(str(tmp_path / "in"))
+    listener = Progress()
+    spark.streams.addListener(listener)
+    I.each_batch(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), lambda b, n: b.count(), str(tmp_path / "c")).awaitTermination()
+    for _ in range(50):
+        if listener.ended:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert sum(b[2] for b in listener.batches) == 5 and listener.ended[0][1] is None
+
+
 def test_unfinished(spark):
     a = spark.createDataFrame([("x",), ("y",), (None,)], "username string")
     done = spark.createDataFrame([("x",), ("x",)], "owner_login string")

@@ -14,7 +14,6 @@ two bit tables of fixed size.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator

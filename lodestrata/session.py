@@ -86,3 +86,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     context.addPyFile(str(made))
     context._lodestrata_shipped = True
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where its files have too few splits to keep half of them busy.
+
+    For scans that feed work per row: a small table in one file would be one task. Tables
+    of many splits are left as they are, so nothing is shuffled at scale. Results do not
+    depend on it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if 2 * df.rdd.getNumPartitions() <= cores else df

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestrata.session import table
+from lodestrata.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,7 +172,7 @@ def _packed(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.packing import pack_documents
     from lodestrata.llm.tokens import token_counts
 
-    counted = token_counts(table(spark, d, "documents"), ["doc_id"], "text")
+    counted = token_counts(spread(table(spark, d, "documents"), "doc_id"), ["doc_id"], "text")
     return pack_documents(counted, "doc_id", table(spark, d, "container_sizes"))
 
 
@@ -194,7 +194,7 @@ def _mixed(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.mixing import mix_sources
     from lodestrata.llm.tokens import token_counts
 
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents"), "doc_id")
     h = docs.withColumn("key", F.coalesce("text", F.lit("")))
     counted = token_counts(h.withColumn("text_key", F.concat(F.hex(F.xxhash64("key")), F.hex(F.xxhash64(F.lit(1), F.reverse("key"))))), ["doc_id", "source", "text_key"], "text")
     return mix_sources(counted, "doc_id", "text_key", "source", table(spark, d, "mix_targets"))
@@ -229,7 +229,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.language import identify, wrong_labels
 
     docs = table(spark, d, "documents")
-    return wrong_labels(identify(docs, "text", _language_model(docs), ["doc_id", "lang"]), "doc_id", "lang")
+    return wrong_labels(identify(spread(docs, "doc_id"), "text", _language_model(docs), ["doc_id", "lang"]), "doc_id", "lang")
 
 
 @query
@@ -238,7 +238,7 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.language import segments
 
     docs = table(spark, d, "documents")
-    return segments(docs, "doc_id", "text", _language_model(docs))
+    return segments(spread(docs, "doc_id"), "doc_id", "text", _language_model(docs))
 
 
 # ---------------------------------------------------------------- 10
@@ -250,7 +250,7 @@ def _levels(spark: SparkSession, d: str, sources: list[str] | None) -> DataFrame
     docs = table(spark, d, "documents")
     cuts = fit_levels(table(spark, d, "reading_samples"), "text", "reading_level")
     chosen = docs.where(F.col("source").isin(sources)) if sources else docs
-    return reading_levels(chosen, "doc_id", "text", cuts, _language_model(docs))
+    return reading_levels(spread(chosen, "doc_id"), "doc_id", "text", cuts, _language_model(docs))
 
 
 @query
@@ -274,7 +274,7 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
     """Both fields in one table. A repository's readme stays over its fetches: rows may repeat."""
     bios = table(spark, d, "owners").select(F.lit("owner_bio").alias("field"), F.col("account_id").alias("ref_id"), F.col("owner_bio").alias("text"))
     readmes = table(spark, d, "repositories").select(F.lit("readme_content").alias("field"), F.col("repo_id").alias("ref_id"), F.col("readme_content").alias("text"))
-    return bios.unionByName(readmes).where("text <> ''")
+    return spread(bios, "ref_id").unionByName(spread(readmes, "ref_id")).where("text <> ''")
 
 
 @query

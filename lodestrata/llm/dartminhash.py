@@ -41,7 +41,7 @@ class Darts:
     bands: int = 56
     rows: int = 4
     rare: float = 0.01
-    power: float = 2.0
+    power: float = 1.0
     least: float = 0.01
 
     @property
@@ -106,18 +106,21 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int
     return names.reshape(n, k)
 
 
-def level(weights: np.ndarray, starts: np.ndarray, share: float) -> np.ndarray:
-    """No element of a set weighs more than the set's quantile ``share``.
+def level(weights: np.ndarray, starts: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """No element of a set weighs more than the heaviest of its lightest ``threshold`` share.
 
     Two texts of similarity t have between t (one holds the other) and 2t / (1 + t) (like
-    sizes) of their elements in common; the share between the two is used. In a large family of near copies the common elements are frequent, so light;
-    what single edits bring in is rare, so heavy, and would hide the likeness. The cap
-    takes that weight away, whatever the family's size.
+    sizes) of the larger one's elements in common, so t is the share that is common at
+    least. In a large family of near copies the common elements are frequent, so light;
+    what single edits or own additions bring in is rare, so heavy, and would hide the
+    likeness. The cap takes that weight away, whatever the family's size.
     """
+    num, den = threshold
     out = np.empty_like(weights)
     for a, b in zip(starts[:-1], starts[1:]):
         w = weights[a:b]
-        out[a:b] = np.minimum(w, np.partition(w, m)[m]) if b > a and (m := min(b - a - 1, int(share * (b - a)))) >= 0 else w
+        m = max(0, -(-(b - a) * num // den) - 1)
+        out[a:b] = np.minimum(w, np.partition(w, m)[m]) if b > a else w
     return out
 
 
@@ -152,14 +155,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["slot", "df"])
 
 
-def _banded(table, darts: Darts, share: float):
+def _banded(table, darts: Darts, threshold: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = table.value
         for batch in batches:
             for at in range(0, len(batch), 400):
                 part = batch.slice(at, 400)
                 keys, starts = packed_column(part.column(1))
-                names = signatures(mix(keys), level(weight[_slot(keys)], starts, share), starts, darts.k).reshape(len(part), darts.bands, darts.rows)
+                names = signatures(mix(keys), level(weight[_slot(keys)], starts, threshold), starts, darts.k).reshape(len(part), darts.bands, darts.rows)
                 h = np.arange(1, darts.bands + 1, dtype=np.uint64)[None, :].repeat(len(part), 0)
                 for i in range(darts.rows):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + names[:, :, i])
@@ -224,8 +227,7 @@ def near_duplicates(docs: DataFrame, ident: str, text: str, *, width: int = 5, t
     rarity = np.log(1 / np.clip(share, darts.rare, 1.0)) / math.log(1 / darts.rare)
     table = docs.sparkSession.sparkContext.broadcast(np.maximum(darts.least, rarity**darts.power))
 
-    t = threshold[0] / threshold[1]
-    banded = sets.select("rep", "elements").mapInArrow(_banded(table, darts, (t + 2 * t / (1 + t)) / 2), "band long, rep long")
+    banded = sets.select("rep", "elements").mapInArrow(_banded(table, darts, threshold), "band long, rep long")
     x, y = banded.alias("x"), banded.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")))
     pairs = materialize(met.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct(), "pairs")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm.dartminhash import Darts, groups, linked_ids, near_duplicates, pack, signatures, unpack
+from lodestrata.llm.dartminhash import Darts, groups, level, linked_ids, near_duplicates, pack, signatures, unpack
 from lodestrata.llm.hashing import mix
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -138,3 +138,30 @@ def test_hot_family_of_different_texts_keeps_its_links(spark):
     found = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", width=3, threshold=(1, 2), min_elements=60)
     got, want = {tuple(r) for r in linked_ids(found).collect()}, pairs_by_hand(rows, 3, 1, 2, 60)
     assert len(want) > 4000 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_template_and_template_with_own_text_are_linked(spark):
+    """A third of all texts hold a template; half of these add nearly as much text of their own."""
+    rng = random.Random(7)
+    template = [rng.choice(WORDS) for _ in range(112)]
+    rows = []
+    for i in range(300):
+        own = [f"o{rng.randrange(10**6)}" for _ in range(150)]
+        if i % 3:
+            rows.append((i, " ".join(own)))
+        elif i % 2:
+            rows.append((i, " ".join(template + own[:90])))
+        else:
+            rows.append((i, " ".join(template[:-1] + own[:1])))
+    found = near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", "t", width=3, threshold=(1, 2), min_elements=60)
+    got, want = {tuple(r) for r in linked_ids(found).collect()}, pairs_by_hand(rows, 3, 1, 2, 60)
+    unlike = {(a, b) for a, b in want if a % 2 != b % 2}
+    assert len(unlike) == 2500 and got <= want
+    assert len(got & unlike) >= 0.97 * len(unlike)
+
+
+def test_cap_at_the_threshold_itself():
+    w = np.array([0.1] * 5 + [1.0] * 5)
+    assert (level(w, np.array([0, 10]), (1, 2)) == 0.1).all()
+    assert (level(w, np.array([0, 10]), (3, 5)) == w).all()
+    assert (level(np.array([0.5]), np.array([0, 0, 1, 1]), (1, 2)) == 0.5).all()

@@ -15,7 +15,6 @@ two bit tables of fixed size.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +27,10 @@ from lodestrata.session import materialize
 #: A term must co-occur this often with what it discloses, with this many bits.
 LEAST_EVENTS = 2
 LEAST_BITS = 4.0
+#: Shares of a term's occurrences that disclose, by an address or also by a telling context, from which the bits do
+#: not matter: where much of a corpus discloses, no term can reach them.
+SURE_RATE = 1 / 16
+SURE_TOLD = 1 / 2
 #: Least occurrences of a context, and share of its terms that disclose.
 LEAST_CONTEXT = 4
 LEAST_SHARE = 0.4
@@ -150,18 +153,17 @@ def _disclosed(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
-    events: Counter = Counter()
+    """Per context and term, occurrences and those that disclose, over the distinct texts and (``all_``) over their copies."""
+    seen: dict[tuple[str, str], list[int]] = {}
 
     def out() -> pa.RecordBatch:
-        keys = list(seen)
-        cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64()), pa.array([events[k] for k in keys], pa.int64())]
+        cols = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string())]
+        cols += [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(4)]
         seen.clear()
-        events.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["context", "term", "n", "events"])
+        return pa.RecordBatch.from_arrays(cols, names=["context", "term", "n", "events", "all_n", "all_events"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not text:
                 continue
             plain = _FENCE.sub(_blank, text) if "```" in text or "~~~" in text else text
@@ -171,9 +173,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(term) < 3:
                     continue
                 key = (context_of(plain, s), term)
-                seen[key] += 1
+                counts = seen.get(key)
+                if counts is None:
+                    counts = seen[key] = [0, 0, 0, 0]
+                counts[0] += 1
+                counts[2] += copies
                 if near and any(a <= s < b and _spelled(term, local) for a, b, local in near):
-                    events[key] += 1
+                    counts[1] += 1
+                    counts[3] += copies
         if len(seen) > FLUSH:
             yield out()
     yield out()
@@ -214,25 +221,34 @@ def _table(keys: DataFrame) -> np.ndarray:
 
 
 def learn(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables of the terms and contexts that disclose persons, from all rows of ``texts``."""
-    pairs = texts.select(text).mapInArrow(_counts, "context string, term string, n long, events long")
-    pairs = materialize(pairs.groupBy("context", "term").agg(F.sum("n").alias("n"), F.sum("events").alias("events")), "terms")
+    """Bit tables of the terms and contexts that disclose persons, from all rows of ``texts``.
+
+    Rates are those over distinct texts, so that a text copied often weighs no more than
+    another; how often something occurs at least is counted over all rows.
+    """
+    once = texts.groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).agg(F.first(text).alias("text"), F.count("*").alias("copies"))
+    pairs = once.select("text", "copies").mapInArrow(_counts, "context string, term string, n long, events long, all_n long, all_events long")
+    total = lambda *names: [F.sum(c).alias(c) for c in names]
+    pairs = materialize(pairs.groupBy("context", "term").agg(*total("n", "events", "all_n", "all_events")), "terms")
     n, events = pairs.agg(F.sum("n"), F.sum("events")).first()
     if not events:
         none = np.zeros(TABLE_BITS // 8, np.uint8)
         return none, none
-    terms = pairs.groupBy("term").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
-    bits = F.log2(F.col("events") / F.col("n") / F.lit(events / n))
-    loud = terms.where((F.col("events") >= LEAST_EVENTS) & (bits >= LEAST_BITS)).select("term")
+    rate = F.col("events") / F.col("n")
+    discloses = lambda base, sure: (rate >= sure) | (F.log2(rate / F.lit(base)) >= LEAST_BITS)
+    terms = pairs.groupBy("term").agg(*total("n", "events", "all_events"))
+    loud = terms.where((F.col("all_events") >= LEAST_EVENTS) & discloses(events / n, SURE_RATE)).select("term")
     marked = pairs.where("context <> ''").join(loud.withColumn("loud", F.lit(1)), "term", "left")
-    contexts = marked.groupBy("context").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("loud") == 1, F.col("n")).otherwise(0)).alias("hits"))
-    telling = contexts.where((F.col("n") >= LEAST_CONTEXT) & (F.col("hits") >= LEAST_SHARE * F.col("n")) & (F.col("hits") >= 3)).select("context")
+    hits = lambda c: F.sum(F.when(F.col("loud") == 1, F.col(c)).otherwise(0))
+    contexts = marked.groupBy("context").agg(*total("n", "all_n"), hits("n").alias("hits"), hits("all_n").alias("all_hits"))
+    telling = contexts.where((F.col("all_n") >= LEAST_CONTEXT) & (F.col("hits") >= LEAST_SHARE * F.col("n")) & (F.col("all_hits") >= 3)).select("context")
     telling = materialize(telling, "contexts")
     # a term also co-occurs with a person where it follows a telling context
-    seen = pairs.join(telling.withColumn("told", F.lit(1)), "context", "left").select("term", "n", F.greatest("events", F.when(F.col("told") == 1, F.col("n")).otherwise(0)).alias("events"))
-    seen = seen.groupBy("term").agg(F.sum("n").alias("n"), F.sum("events").alias("events"))
+    told = lambda events, n: F.greatest(events, F.when(F.col("told") == 1, F.col(n)).otherwise(0)).alias(events)
+    seen = pairs.join(telling.withColumn("told", F.lit(1)), "context", "left").select("term", "n", told("events", "n"), told("all_events", "all_n"))
+    seen = seen.groupBy("term").agg(*total("n", "events", "all_events"))
     base = seen.agg(F.sum("events") / F.sum("n")).first()[0]
-    strong = (F.col("events") > LEAST_EVENTS) & (F.log2(F.col("events") / F.col("n") / F.lit(base)) >= LEAST_BITS)
+    strong = (F.col("all_events") > LEAST_EVENTS) & discloses(base, SURE_TOLD)
     return _table(loud.unionByName(seen.where(strong).select("term")).distinct()), _table(telling)
 
 

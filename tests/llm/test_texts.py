@@ -145,6 +145,18 @@ def test_learning_from_nothing(spark):
     assert P.personal_values(spark.createDataFrame([], "id long, t string"), ["id"], "t", none).count() == 0
 
 
+def test_a_copied_text_does_not_hide_other_names(spark):
+    """A third of the rows are copies of one text with a name and its address; others' names are beside theirs in some texts only."""
+    copied = "Written by Rafik Klebo <rafik.klebo@mail.example>."
+    rows = [copied] * 60
+    for i, name in enumerate(["Petra", "Noor", "Tomas", "Ines"] * 5):
+        rows += [f"Ask {name} <{name.lower()}{i}@a.example> first.", f"Thanks go to {name} for part {i}.", f"Reviewed with {name} in week {i}.", f"Sent along by {name} as draft {i}.", f"The Build of Monday {i} is good.", f"The Release of Friday {i} is good."]
+    found = P.learn(spark.createDataFrame([(t,) for t in rows], "t string"), "t")
+    assert values(found, "We met Petra and later Ines at noon.") == [("person_name", "Petra"), ("person_name", "Ines")]
+    assert values(found, "It says Rafik here.") == [("person_name", "Rafik")]
+    assert values(found, "The Build of Monday is good.") == []
+
+
 def test_long_text(learned):
     text = "word " * 200_000 + "Maintained by Petra Foo."
     assert values(learned, text) == [("person_name", "Petra Foo")]

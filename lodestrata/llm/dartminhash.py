@@ -7,7 +7,9 @@ of density one, made from the element's hash alone, so the same element has the
 in every text. A dart counts if it lands below the element's weight and before the text's
 rank bound; it hits one of ``k`` coordinates, and each coordinate keeps its earliest dart.
 Two texts agree in a coordinate with the probability of their weighted Jaccard similarity.
-Coordinates are joined in bands, and every candidate is verified exactly on the plain sets.
+Coordinates are joined in bands. Of every candidate pair first the smallest element hashes are
+compared, which settles all but one in a hundred thousand links and sends away most unlike
+pairs for a few bytes; what is left is verified exactly on the plain sets.
 
 Copies are collapsed to one representative before any signature is made, so a copy group of
 any size costs one signature. Nothing but the fixed-size weight table reaches the driver.
@@ -28,18 +30,22 @@ from lodestrata.session import materialize
 
 #: Slots of the document-frequency table: its size, and so the broadcast, is fixed.
 DF_SLOTS = 1 << 17
-#: Distinct texts up to which a list of the involved ones is broadcast; beyond it the join shuffles.
-BROADCAST_IDS = 1_000_000
-#: Bytes kept of an element's hash in the stored sets.
-KEPT = 5
+#: Bytes kept of an element's hash in the stored sets, and in the sketches.
+KEPT, BRIEF = 5, 3
+#: Smallest elements in a sketch, and how unlikely a link may fail the comparison of sketches.
+SKETCH, UNLIKELY = 48, 1e-5
+#: Bits of a band's name that are kept. Zeros at its end are not worth their place in a shuffle.
+BAND_BITS = 48
+#: Darts a coordinate gets on average: it stays empty with a probability of e to the minus that.
+DARTS_EACH = 6.0
 
 
 @dataclass(frozen=True)
 class Darts:
     """``bands`` of ``rows`` coordinates. ``rare``: share of texts below which an element has full weight."""
 
-    bands: int = 56
-    rows: int = 4
+    bands: int = 112
+    rows: int = 5
     rare: float = 0.01
     power: float = 1.0
     least: float = 0.01
@@ -49,22 +55,22 @@ class Darts:
         return self.bands * self.rows
 
 
-def pack(sets: np.ndarray) -> bytes:
-    return sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - KEPT :].tobytes()
+def pack(sets: np.ndarray, kept: int = KEPT) -> bytes:
+    return sets.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - kept :].tobytes()
 
 
-def unpack(data: np.ndarray) -> np.ndarray:
+def unpack(data: np.ndarray, kept: int = KEPT) -> np.ndarray:
     """Elements of packed sets, from their bytes laid end to end."""
-    wide = np.zeros((len(data) // KEPT, 8), np.uint8)
-    wide[:, 8 - KEPT :] = data.reshape(-1, KEPT)
+    wide = np.zeros((len(data) // kept, 8), np.uint8)
+    wide[:, 8 - kept :] = data.reshape(-1, kept)
     return wide.view("<u8").reshape(-1)
 
 
-def packed_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def packed_column(column: pa.Array, kept: int = KEPT) -> tuple[np.ndarray, np.ndarray]:
     """All elements of a binary column, and where each row's begin (with the end)."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-    return unpack(data), (offsets - offsets[0]) // KEPT
+    return unpack(data, kept), (offsets - offsets[0]) // kept
 
 
 #: Strips of the weight axis, each with darts of its own, so that a text of light elements throws few in vain.
@@ -75,15 +81,14 @@ def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int
     """DartMinHash of ragged weighted sets, one row of ``k`` dart names per set; 0 where no dart fell.
 
     Set ``i`` is ``keys[starts[i]:starts[i + 1]]`` with weights in (0, 1]. About
-    ``k ln k + 2k`` darts are thrown for each set, which leaves a coordinate empty with
-    probability below ``e^-2 / k``.
+    ``DARTS_EACH * k`` darts hit each set, whatever its size.
     """
     n = len(starts) - 1
     best = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
     sizes = np.diff(starts)
     owners = np.repeat(np.arange(n), sizes)
     total = np.bincount(owners, weights, minlength=n)
-    bounds = np.divide(k * math.log(k) + 2 * k, total, out=np.zeros(n), where=total > 0)[owners]
+    bounds = np.divide(DARTS_EACH * k, total, out=np.zeros(n), where=total > 0)[owners]
     for strip, (low, high) in enumerate(STRIPS):
         into = weights > low
         base, w, owner, bound = keys[into] ^ np.uint64(strip * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF), weights[into], owners[into], bounds[into]
@@ -128,17 +133,20 @@ def _sets(width: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, sizes, packed = [], [], []
+            ids, sizes, packed, briefs = [], [], [], []
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = WORD.findall(text)
                 if len(words) - width + 1 < least:
                     continue
-                s = shingles(np.fromiter((known[w] for w in words), np.uint64, len(words)), width)
+                s, first = shingles(np.fromiter((known[w] for w in words), np.uint64, len(words)), width)
                 if len(s) >= least:
                     ids.append(rep)
                     sizes.append(len(s))
-                    packed.append(pack(s))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], names=["rep", "n", "elements"])
+                    # in the order of the text, so that passages many texts share are alike and compress
+                    packed.append(pack(s[np.argsort(first)]))
+                    briefs.append(pack(s[:SKETCH], BRIEF))
+            cols = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary()), pa.array(briefs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rep", "n", "elements", "brief"])
 
     return run
 
@@ -168,11 +176,52 @@ def _banded(table, darts: Darts, threshold: tuple[int, int]):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + names[:, :, i])
                 full = (names != 0).all(axis=2).reshape(-1)
                 reps = np.repeat(part.column(0).to_numpy(), darts.bands)
+                h &= np.uint64((1 << 64) - (1 << 64 - BAND_BITS))
                 yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1)[full].view(np.int64)), pa.array(reps[full])], names=["band", "rep"])
 
     return run
 
 
+def least_common(num: int, den: int) -> np.ndarray:
+    """For each number m of compared elements up to ``SKETCH``, how many of them a link has in
+    common at least, but for a probability of ``UNLIKELY``: a quantile of the binomial law."""
+    out = np.zeros(SKETCH + 1, np.int64)
+    t = num / den
+    for m in range(1, SKETCH + 1):
+        below = 0.0
+        while out[m] < m and (below := below + math.comb(m, int(out[m])) * t ** int(out[m]) * (1 - t) ** (m - int(out[m]))) <= UNLIKELY:
+            out[m] += 1
+    return out
+
+
+def alike(x: np.ndarray, xs: np.ndarray, y: np.ndarray, ys: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether two rows of sketches have enough in common among the smallest ``SKETCH`` of both together."""
+    n = len(xs) - 1
+    both = np.full((n, 2 * SKETCH), np.iinfo(np.uint64).max)
+    for flat, starts, at in ((x, xs, 0), (y, ys, SKETCH)):
+        row = np.repeat(np.arange(n), np.diff(starts))
+        both[row, at + np.arange(len(flat)) - starts[row]] = flat
+    both.sort(axis=1)
+    real = both != np.iinfo(np.uint64).max
+    again = np.zeros_like(real)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    place = np.cumsum(real & ~again, axis=1)
+    inside = place <= SKETCH
+    return (again & inside).sum(axis=1) >= need[np.minimum(place[:, -1], SKETCH)]
+
+
+def _rough(num: int, den: int):
+    need = least_common(num, den)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            ok = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & alike(*packed_column(batch.column(4), BRIEF), *packed_column(batch.column(5), BRIEF), need)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["rep_a", "rep_b"])
+
+    return run
+
+
 def _verify(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,8 +240,8 @@ def _verify(num: int, den: int):
 
 @dataclass(frozen=True)
 class Duplicates:
-    """``members``: id, rep (one row per id and text). ``sets``: rep, n, elements, of the texts
-    with enough elements. ``links``: rep_a < rep_b, common, either."""
+    """``members``: id, rep (one row per id and text). ``sets``: rep, n, elements, brief, of the
+    texts with enough elements. ``links``: rep_a < rep_b, common, either."""
 
     members: DataFrame
     sets: DataFrame
@@ -209,13 +258,13 @@ def near_duplicates(docs: DataFrame, ident: str, text: str, *, width: int = 5, t
     same order) share a representative, the smallest id among them; an id that comes with
     several texts is a member of several classes. Links hold between representatives, and
     every link found is exact; a link at the threshold itself is found with a probability of
-    about ``1 - (1 - threshold ** rows) ** bands``. Other columns are ignored.
+    about ``1 - (1 - threshold ** rows) ** bands``, less ``UNLIKELY``. Other columns are ignored.
     """
     words = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
     rows = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), words.alias("words"))
     keyed = rows.select("id", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), F.reverse("words")).alias("h2"))
     classes = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("words").alias("words"))
-    sets = materialize(classes.select("rep", "words").mapInArrow(_sets(width, min_elements), "rep long, n int, elements binary"), "sets")
+    sets = materialize(classes.select("rep", "words").mapInArrow(_sets(width, min_elements), "rep long, n int, elements binary, brief binary"), "sets")
     ids = materialize(keyed.select("id", "h1", "h2").distinct(), "ids")
     members = ids.join(ids.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep")
     members = materialize(members, "members")
@@ -230,11 +279,13 @@ def near_duplicates(docs: DataFrame, ident: str, text: str, *, width: int = 5, t
     banded = sets.select("rep", "elements").mapInArrow(_banded(table, darts, threshold), "band long, rep long")
     x, y = banded.alias("x"), banded.alias("y")
     met = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep")))
-    pairs = materialize(met.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct(), "pairs")
+    met = met.select(F.col("x.rep").alias("rep_a"), F.col("y.rep").alias("rep_b")).distinct()
+    brief = lambda p: sets.select(F.col("rep").alias(f"rep_{p}"), F.col("n").alias(f"n_{p}"), F.col("brief").alias(f"brief_{p}"))
+    sketched = met.join(brief("a"), "rep_a").join(brief("b"), "rep_b").select("rep_a", "rep_b", "n_a", "n_b", "brief_a", "brief_b")
+    pairs = materialize(sketched.mapInArrow(_rough(*threshold), "rep_a long, rep_b long"), "pairs")
 
-    involved = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    small = involved.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    needed = sets.join(F.broadcast(involved) if small else involved, "rep", "left_semi")
+    # only sets in a pair travel; whether the list of their ids is broadcast depends on its size
+    needed = sets.join(pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct(), "rep", "left_semi")
     left = needed.select(F.col("rep").alias("rep_a"), F.col("elements").alias("set_a"))
     right = needed.select(F.col("rep").alias("rep_b"), F.col("elements").alias("set_b"))
     both = pairs.join(left, "rep_a").join(right, "rep_b").select("rep_a", "rep_b", "set_a", "set_b")
@@ -253,17 +304,19 @@ def linked_ids(found: Duplicates) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def groups(found: Duplicates, max_rounds: int = 40) -> DataFrame:
+def groups(found: Duplicates) -> DataFrame:
     """One row per id and text: ``id, class_id, group_id, n_links``.
 
     ``class_id`` is the representative of the copies, ``n_links`` the number of other classes
-    linked to it, ``group_id`` the smallest class id that is reached over links.
+    linked to it, ``group_id`` the smallest class id that is reached over links. Every round
+    lowers labels, so the rounds end by themselves; jumps make them about the logarithm of
+    the longest chain.
     """
     both = found.links.select("rep_a", "rep_b").unionByName(found.links.select(F.col("rep_b").alias("rep_a"), F.col("rep_a").alias("rep_b")))
     degree = both.groupBy("rep_a").agg(F.count("*").alias("n_links"))
     label = both.groupBy("rep_a").agg(F.min("rep_b").alias("m")).select(F.col("rep_a").alias("rep"), F.least("rep_a", "m").alias("group_id"))
     label = materialize(label, "labels")
-    for _ in range(max_rounds):
+    while True:
         # the smallest label among the neighbours, then one jump along the pointer
         near = both.join(label.select(F.col("rep").alias("rep_b"), "group_id"), "rep_b").groupBy("rep_a").agg(F.min("group_id").alias("m"))
         step = label.join(near.withColumnRenamed("rep_a", "rep"), "rep").select("rep", "group_id", F.least("group_id", "m").alias("low"))
@@ -273,7 +326,5 @@ def groups(found: Duplicates, max_rounds: int = 40) -> DataFrame:
         if step.where("was <> group_id").limit(1).count() == 0:
             break
         label = step.select("rep", "group_id")
-    else:
-        raise RuntimeError("links form a chain longer than max_rounds can join")
     m = found.members.join(label, "rep", "left").join(degree.withColumnRenamed("rep_a", "rep"), "rep", "left")
     return m.select("id", F.col("rep").alias("class_id"), F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -37,12 +37,12 @@ class WordHashes(dict):
         return h
 
 
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the runs of ``width`` successive word hashes."""
+def shingles(words: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the runs of ``width`` successive word hashes, and where each begins first."""
     n = len(words) - width + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h = np.full(n, width, np.uint64)
     for i in range(width):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + words[i : i + n])
-    return np.unique(h)
+    return np.unique(h, return_index=True)

@@ -37,14 +37,14 @@ SKETCH, UNLIKELY = 48, 1e-5
 #: Bits of a band's name that are kept. Zeros at its end are not worth their place in a shuffle.
 BAND_BITS = 48
 #: Darts a coordinate gets on average: it stays empty with a probability of e to the minus that.
-DARTS_EACH = 6.0
+DARTS_EACH = 5.0
 
 
 @dataclass(frozen=True)
 class Darts:
     """``bands`` of ``rows`` coordinates. ``rare``: share of texts below which an element has full weight."""
 
-    bands: int = 112
+    bands: int = 128
     rows: int = 5
     rare: float = 0.01
     power: float = 1.0
@@ -74,7 +74,7 @@ def packed_column(column: pa.Array, kept: int = KEPT) -> tuple[np.ndarray, np.nd
 
 
 #: Strips of the weight axis, each with darts of its own, so that a text of light elements throws few in vain.
-STRIPS = ((0.0, 0.125), (0.125, 1.0))
+STRIPS = ((0.0, 0.125), (0.125, 0.5), (0.5, 1.0))
 
 
 def signatures(keys: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:

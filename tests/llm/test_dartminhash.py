@@ -111,7 +111,7 @@ def test_pack_round_trip():
 
 
 def test_parameters():
-    assert Darts().k == 560
+    assert Darts().k == 640
 
 
 def test_hot_copies_collapse(spark):

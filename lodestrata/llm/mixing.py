@@ -5,8 +5,10 @@ them, their membership pattern, and only the patterns' token totals reach the dr
 a flow routes each pattern's tokens to the quotas of its sources: the first use of a token is
 free, each repetition costs one more than the last, so repetition is convex and goes where
 it is needed. The flow's amounts become intervals on each pattern's seeded order of texts, and
-a text is taken for the source whose interval holds its middle. Running sums are taken in
-hash buckets with offsets, so no pattern is gathered in one task.
+a text is taken for the source whose interval holds it whole. Running sums are taken in
+hash buckets with offsets, so no pattern is gathered in one task. What the ends of the
+intervals leave of a quota is closed by texts that fit: of every size class (powers of two)
+some unused ones are offered, and the driver takes the largest that fit, last the nearest.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lodestrata.session import materialize
+
 #: Patterns the driver accepts. With up to 12 sources there cannot be more.
 MAX_PATTERNS = 4096
 #: Texts of one hash bucket of the running sums.
 BUCKET_TEXTS = 50_000
+#: Unused texts of each size class offered for what is left of a quota, besides one per interval of it.
+OFFERS = 8
 
 
 class Flow:
@@ -115,8 +121,9 @@ def mix_sources(docs: DataFrame, ident: str, text: str, source: str, targets: Da
     sum to 1, null shares are 0, null repeats are 1. The total of a mix is the largest for
     which every quota can be met; a source with a share but no tokens makes it 0. A text
     is used at most ``max_repeats`` times, over all sources together at most as often as
-    its most repeatable source allows. Actual shares differ from the targets by at most
-    one text per source and level. Empty tables give no rows.
+    its most repeatable source allows. A source's tokens differ from its quota by less than
+    half of the smallest text that is still unused, if any is small enough to fit at all.
+    Empty tables give no rows.
     """
     spark = docs.sparkSession
     wanted: dict[str, dict[str, tuple[float, int]]] = defaultdict(dict)
@@ -132,19 +139,26 @@ def mix_sources(docs: DataFrame, ident: str, text: str, source: str, targets: Da
     totals = {tuple(p): (n, k) for p, n, k in texts.groupBy("pattern").agg(F.sum("n_tokens"), F.count("*")).limit(MAX_PATTERNS + 1).collect()}
     if len(totals) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    rows = []
+    zones, quotas, allowed, parts = [], {}, {}, defaultdict(int)
     for m in sorted(wanted):
         scale = sum(x for x, _ in wanted[m].values()) or 1.0
         shares = {s: x / scale for s, (x, _) in wanted[m].items()}
         repeats = {s: r for s, (_, r) in wanted[m].items()}
         # only this mix's sources count, so patterns that agree in them share one order
         offered: dict[tuple[str, ...], int] = {p: n for p, (n, _) in totals.items()}
-        _, routes = plan_mix(offered, shares, repeats)
+        total, routes = plan_mix(offered, shares, repeats)
+        spans: dict[tuple, list] = defaultdict(list)
         begin: dict[tuple, int] = defaultdict(int)
         for (p, level, s), n in sorted(routes.items()):
-            rows.append((m, list(p), s, level, begin[p, level], begin[p, level] + n))
+            spans[p, level].append((s, begin[p, level], begin[p, level] + n))
             begin[p, level] += n
-    spans = spark.createDataFrame(rows, "mix_name string, pattern array<string>, source string, level int, lo long, hi long")
+            parts[m, s] += 1
+        for p in totals:
+            for level in range(1, max((repeats.get(s, 0) for s in p), default=0) + 1):
+                zones.append((m, list(p), level, spans.get((p, level), [])))
+        quotas |= {(m, s): int(round(total * x)) for s, x in shares.items() if x > 0 and total > 0}
+        allowed |= {(m, s): r for s, r in repeats.items()}
+    zone = spark.createDataFrame(zones, "mix_name string, pattern array<string>, level int, spans array<struct<source:string,lo:long,hi:long>>")
     buckets = max(1, -(-sum(k for _, k in totals.values()) // BUCKET_TEXTS))
     texts = texts.withColumn("bucket", F.pmod(F.shiftright("order", 20), F.lit(buckets)))
     sums = texts.groupBy("pattern", "bucket").agg(F.sum("n_tokens").alias("t"))
@@ -152,17 +166,59 @@ def mix_sources(docs: DataFrame, ident: str, text: str, source: str, targets: Da
     offset = sums.select("pattern", "bucket", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("pattern", "bucket").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = texts.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offset, ["pattern", "bucket"])
-    placed = placed.select("id", "pattern", "n_tokens", (F.col("offset") + F.col("before") + F.floor(F.col("n_tokens") / 2)).alias("middle"))
-    # spans: a bounded number of rows (patterns x sources x levels of the parameter table)
-    small = len(rows) <= 50_000
-    taken = placed.join(F.broadcast(spans) if small else spans, "pattern").where("middle >= lo and middle < hi")
-    return taken.groupBy("mix_name", "id", "source").agg(F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens")).withColumnRenamed("id", ident)
+    placed = placed.select("id", "pattern", "n_tokens", "order", (F.col("offset") + F.col("before")).alias("lo"))
+    # zones: a bounded number of rows (patterns x levels of the parameter table)
+    at = placed.join(F.broadcast(zone) if len(zones) <= 50_000 else zone, "pattern")
+    inside = F.filter("spans", lambda x: (x["lo"] <= F.col("lo")) & (F.col("lo") + F.col("n_tokens") <= x["hi"]))
+    at = at.withColumn("source", F.get(inside, F.lit(0))["source"])
+    taken = materialize(at.where("source is not null").select("mix_name", "id", "source", "n_tokens"), "taken")
+    got = {(r[0], r[1]): r[2] for r in taken.groupBy("mix_name", "source").agg(F.sum("n_tokens")).collect()}
+    left = {k: q - got.get(k, 0) for k, q in quotas.items() if q > got.get(k, 0)}
+    more = _closed(at.where("source is null"), left, allowed, parts)
+    extra = spark.createDataFrame(more, "mix_name string, id long, source string, n_tokens long").withColumn("id", F.col("id").cast(dict(taken.dtypes)["id"]))
+    uses = taken.unionByName(extra).groupBy("mix_name", "id", "source")
+    return uses.agg(F.count("*").alias("copies"), F.first("n_tokens").alias("n_tokens")).withColumnRenamed("id", ident)
+
+
+def _closed(unused: DataFrame, left: dict[tuple[str, str], int], allowed: dict[tuple[str, str], int], parts: dict[tuple[str, str], int]) -> list[tuple]:
+    """Uses (mix, id, source, tokens) that close what is ``left`` of the quotas, from texts ``unused`` at a level.
+
+    At most ``OFFERS`` and one per interval of each size class of each quota reach the driver.
+    """
+    if not left:
+        return []
+    spark = unused.sparkSession
+    need = spark.createDataFrame([(m, s, r, allowed[m, s], OFFERS + parts[m, s]) for (m, s), r in left.items()], "mix_name string, source string, room long, most int, offers int")
+    each = unused.select("mix_name", "level", "id", "n_tokens", "order", F.explode("pattern").alias("source"))
+    # need: a row per target at most, of which there are 10,000 at most
+    fits = each.join(F.broadcast(need), ["mix_name", "source"]).where("level <= most and n_tokens < 2 * room").withColumn("class", F.floor(F.log2("n_tokens")))
+    turn = F.row_number().over(Window.partitionBy("mix_name", "source", "class").orderBy("order", "id", "level"))
+    offers: dict[tuple[str, str], list[tuple]] = defaultdict(list)
+    most = OFFERS + max(parts.values(), default=0)
+    for m, s, i, level, n in fits.withColumn("turn", turn).where(F.col("turn") <= most).where("turn <= offers").select("mix_name", "source", "id", "level", "n_tokens").collect():
+        offers[m, s].append((n, i, level))
+    out, used = [], set()
+    for (m, s), room in sorted(left.items(), key=lambda x: (-x[1], x[0])):
+        free = sorted((x for x in offers[m, s] if (m, *x[1:]) not in used), key=lambda x: (-x[0], x[1], x[2]))
+        chosen = []
+        for x in free:
+            if x[0] <= room:
+                chosen.append(x)
+                room -= x[0]
+        rest = [x for x in free if x not in chosen and x[0] < 2 * room]
+        chosen += [min(rest, key=lambda x: (abs(room - x[0]), x[1], x[2]))] if rest else []
+        used |= {(m, i, level) for _, i, level in chosen}
+        out += [(m, i, s, n) for n, i, _ in chosen]
+    return out
 
 
 def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and source: texts, most copies, tokens, target and actual share."""
+    """Per mix and source: texts, most copies, tokens, target and actual share, and ``gap_tokens``,
+    what the source has above (or below) its share of the mix; a gap is less than the size of a text."""
     got = mixed.groupBy("mix_name", "source").agg(F.count("*").alias("texts"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     all_tokens = got.groupBy("mix_name").agg(F.sum("tokens").alias("total"))
     t = targets.select("mix_name", "source", "target_share", "max_repeats")
     out = t.join(got, ["mix_name", "source"], "left").join(all_tokens, "mix_name", "left").fillna(0, ["texts", "most_copies", "tokens"])
-    return out.select("mix_name", "source", "target_share", "max_repeats", "texts", "most_copies", "tokens", F.round(F.col("tokens") / F.col("total"), 6).alias("actual_share"))
+    scale = F.sum("target_share").over(Window.partitionBy("mix_name"))
+    gap = F.round(F.col("tokens") - F.col("total") * F.col("target_share") / scale).cast("long").alias("gap_tokens")
+    return out.select("mix_name", "source", "target_share", "max_repeats", "texts", "most_copies", "tokens", F.round(F.col("tokens") / F.col("total"), 6).alias("actual_share"), gap)

@@ -103,6 +103,6 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     """Per container name: containers used, tokens, share of the space filled, parts split off."""
     by = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts"))
     total = by.groupBy("container_name").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.sum("parts").alias("parts"), F.max("tokens").alias("fullest"))
-    caps = F.broadcast(containers.select("container_name", "capacity_tokens").distinct().limit(1000))
+    caps = containers.select("container_name", "capacity_tokens").distinct()
     filled = F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled")
     return total.join(caps, "container_name").select("container_name", "capacity_tokens", "containers", "tokens", "parts", "fullest", filled)

@@ -1,7 +1,7 @@
 """Mapping free-typed values to a canonical list (problem 5): a prefix-filter set-similarity join.
 
-A value is cut into phrases (runs of up to ``MAX_WORDS`` words of a piece between
-separators), a phrase is a set of letter pairs. All sets are ordered by one global order,
+A value is cut into phrases (runs of words of a piece between separators, one word longer
+than the longest name listed), a phrase is a set of letter pairs. All sets are ordered by one global order,
 rarest pair first, so two sets with Jaccard similarity of at least ``t`` share a pair
 within their prefixes. Only prefixes are joined; the length filter and the positional
 filter run inside the join, the survivors are verified exactly, and the best entry is kept.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -20,23 +21,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-#: Longest phrase, in words.
-MAX_WORDS = 3
 #: Slots of the table of pair frequencies behind the global order; its size is fixed.
 RANK_SLOTS = 4096
-#: Usual short forms of words that begin place names.
-SHORT_FORMS = {
-    "fort": ["ft"],
-    "saint": ["st", "snt"],
-    "mount": ["mt"],
-    "port": ["pt", "prt"],
-    "upper": ["up", "upr"],
-    "new": ["nw", "n"],
-    "north": ["n", "nth"],
-    "south": ["s", "sth"],
-    "lower": ["lr", "lwr"],
-    "lake": ["lk"],
-}
+#: The points of the compass, for which their first letter stands.
+COMPASS = {"north", "south", "east", "west"}
+#: Names that begin with the same word, from which on the word is one that people shorten.
+SHARED = 2
 #: Letters that do not decompose into a base letter and a mark.
 PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i"})
 
@@ -51,25 +41,35 @@ def fold(text: str) -> str:
     return "".join(c for c in low if not unicodedata.combining(c)).translate(PLAIN)
 
 
-def phrases(value: str) -> set[str]:
-    """The phrases of a value, each written together: 'S t . X, YZ' gives 'stx' and 'yz'."""
+def phrases(value: str, most: int) -> set[str]:
+    """The phrases of up to ``most`` words, each written together: 'S t . X, YZ' gives 'stx' and 'yz'."""
     out: set[str] = set()
     whole = _SPACED.sub(lambda m: re.sub(r"[\s.]", "", m.group()), fold(value))
     for piece in _PIECE.split(whole):
         words = _WORD.findall(piece)
         for i in range(len(words)):
-            for n in range(1, MAX_WORDS + 1):
+            for n in range(1, most + 1):
                 if i + n <= len(words):
                     out.add("".join(words[i : i + n]))
     return {p for p in out if len(p) > 1}
 
 
-def forms(name: str) -> set[str]:
-    """How an entry may be written: with its first word in full or in a short form."""
+def shortened(word: str) -> set[str]:
+    """How a word is usually shortened: its first two letters, first and last letter, first and
+    last two, without vowels; a word of three letters and a point of the compass to the first."""
+    bare = word[0] + re.sub(r"[aeiou]", "", word[1:])
+    single = re.sub(r"(.)\1", r"\1", bare)
+    out = {word[:2], word[0] + word[-1], word[0] + word[-2:], bare, single, single[:1] + single[-2:]}
+    return {x for x in out if 1 < len(x) < len(word)} | ({word[0]} if len(word) == 3 or word in COMPASS else set())
+
+
+def forms(name: str, common: frozenset[str] = frozenset()) -> set[str]:
+    """How an entry may be written: with its first word in full or, if it is ``common``, in a short form."""
     words = _WORD.findall(fold(name))
     if not words:
         return set()
-    return {"".join([w, *words[1:]]) for w in [words[0], *(SHORT_FORMS.get(words[0], []) if len(words) > 1 else [])]}
+    heads = {words[0]} | (shortened(words[0]) if len(words) > 1 and words[0] in common else set())
+    return {"".join([w, *words[1:]]) for w in heads}
 
 
 def pairs(phrase: str) -> set[str]:
@@ -91,7 +91,14 @@ def edits(a: str, b: str) -> int:
 
 
 def _edits_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edits(x, y) for x, y in zip(a, b)], dtype="int32")
+    return pd.Series([-1 if x is None else edits(x, y) for x, y in zip(a, b)], dtype="int32")
+
+
+def _first_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per name of several words its first word, and its number of words."""
+    for batch in batches:
+        words = [_WORD.findall(fold(x)) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([w[0] if len(w) > 1 else None for w in words], pa.string()), pa.array([len(w) for w in words], pa.int32())], names=["word", "words"])
 
 
 def _slot(pair: str) -> int:
@@ -146,7 +153,12 @@ def match_canonical(values: DataFrame, value: str, entries: DataFrame, *, simila
     named = entries.select(F.col("entry_id").cast("long"), "name", "context", F.coalesce("weight", F.lit(0)).cast("long").alias("weight"))
     names = named.select("name").where("name is not null").distinct()
     contexts = named.select(F.explode("context").alias("name")).where("name is not null").distinct()
-    listed = names.select("name", "name").toDF("key", "name").mapInArrow(_expand(forms, None), "key string, phrase string, grams array<string>")
+    # the words that begin several entries, and the length of the longest name: bounded by the list, and so small
+    heads = names.unionByName(contexts).mapInArrow(_first_words, "word string, words int")
+    most = 1 + (heads.agg(F.max("words")).first()[0] or 0)
+    common = frozenset(r[0] for r in names.mapInArrow(_first_words, "word string, words int").where("word is not null").groupBy("word").count().where(F.col("count") >= SHARED).select("word").collect())
+    written = partial(forms, common=common)
+    listed = names.select("name", "name").toDF("key", "name").mapInArrow(_expand(written, None), "key string, phrase string, grams array<string>")
     counted = listed.select("grams").mapInArrow(_slots, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     freq = np.zeros(RANK_SLOTS, np.int64)
     for slot, n in counted:
@@ -158,9 +170,9 @@ def match_canonical(values: DataFrame, value: str, entries: DataFrame, *, simila
         # an edit takes away three pairs at most, so both prefixes end after 3 * max_edits + 1 at the latest
         return out.withColumns({"size": size, "prefix": F.least(size - F.ceil(size * num / den).cast("int") + 1, F.lit(3 * max_edits + 1))})
 
-    spoken = sets(distinct.select("value", "value"), phrases)
+    spoken = sets(distinct.select("value", "value"), partial(phrases, most=most))
     typed = spoken.select("phrase", "grams", "size", "prefix").distinct()
-    kept = sets(names.select("name", "name"), forms).select(F.col("key").alias("name"), F.col("phrase").alias("form"), "grams", "size", "prefix")
+    kept = sets(names.select("name", "name"), written).select(F.col("key").alias("name"), F.col("phrase").alias("form"), "grams", "size", "prefix")
     left = typed.select("phrase", "size", F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("i", "gram"))
     right = kept.select("form", F.col("size").alias("size_r"), F.posexplode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("j", "gram")).distinct()
     need = F.ceil((F.col("size") + F.col("size_r")) * num / (num + den))
@@ -173,8 +185,11 @@ def match_canonical(values: DataFrame, value: str, entries: DataFrame, *, simila
     both = both.withColumn("either", F.size("ga") + F.size("gb") - F.col("common")).where(F.col("common") * den >= F.col("either") * num)
     # a swap is two edits to the built-in distance, which screens the pairs inside the JVM
     close = F.abs(F.length("phrase") - F.length("form")) <= max_edits
-    both = both.where(close & (F.levenshtein("phrase", "form", 2 * max_edits) >= 0))
-    both = both.select("phrase", "form", "common", "either").withColumn("edits", F.pandas_udf(_edits_of, "int")("phrase", "form"))
+    both = both.withColumn("plain", F.levenshtein("phrase", "form", 2 * max_edits)).where(close & (F.col("plain") >= 0))
+    # only from two plain edits on there can be a swap, for which Python is asked
+    counted = F.pandas_udf(_edits_of, "int")(F.when(F.col("plain") > 1, F.col("phrase")), "form")
+    both = both.select("phrase", "form", "common", "either", "plain", counted.alias("counted"))
+    both = both.withColumn("edits", F.when(F.col("plain") > 1, F.col("counted")).otherwise(F.col("plain")))
     both = both.where((F.col("edits") <= max_edits) & (F.col("edits") * letters_per_edit <= F.length("form")))
     sure = both.select("phrase", "form", (F.col("common") / F.col("either")).alias("score"), "edits")
     by_name = sure.join(kept.select("name", "form"), "form").join(named, "name").select("phrase", "entry_id", "score", "edits", "context", "weight")

@@ -4,14 +4,14 @@ Every written name is reduced to core words and a kind (bank, software, ...), wi
 form, remarks and filler words, and every rewriting of it that people use is generated:
 other word orders, the kind dropped or shortened, initials, the first word alone, nicknames,
 and the spellings one slip away (as deletion forms). The forms are exploded and equi-joined.
-A link counts by the rarity of its rewriting: a form that several organisations could have
-names none of them.
+A link is scored by the rarity of its rewriting: a form that several organisations could
+have names one of them only if nearly all who write in full mean that one.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -122,13 +122,14 @@ def slips(text: str) -> set[str]:
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for value in batch.column(0).to_pylist():
+        cols: list[list] = [[], [], [], [], [], []]
+        for value, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if p := parse(value):
                 core, kind = p
-                for c, x in zip(cols, (value, " ".join(sorted(core)) + (f" #{kind}" if kind else ""), core, kind, " ".join(words_of(value)))):
+                for c, x in zip(cols, (value, n, " ".join(sorted(core)) + (f" #{kind}" if kind else ""), core, kind, " ".join(words_of(value)))):
                     c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string())), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["value", "key", "core", "kind", "said"])
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["value", "n", "key", "core", "kind", "said"])
 
 
 def _exploded(make):
@@ -148,22 +149,39 @@ def _exploded(make):
     return run
 
 
-def written(core: list[str], kind: str | None) -> set[str]:
-    """The name written together, in every order of up to three core words."""
-    orders = itertools.permutations(core) if len(core) <= 3 else [tuple(core)]
-    return {"".join(o) + (f"#{kind}" if kind else "") for o in orders}
+def together(core: list[str]) -> list[str]:
+    """The name written together, from any of its words on."""
+    return ["".join(core[i:] + core[:i]) for i in range(len(core))]
 
 
 def _slipped(core: list[str], kind: str | None) -> set[str]:
-    return {s for f in written(core, kind) for s in slips(f)}
+    """Forms of which two names share one if they differ by an edit inside a word, whatever the
+    order of their words, or by an edit or missing blanks where they are written on in turn.
 
+    A form of L letters belongs to at most (L + 1) * alphabet names of one edit, so none is hot.
+    """
+    tail = f"#{kind or ''}"
+    words = sorted(core)
+    rest = [" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))]
+    inside = {f"{r}|{s}{tail}" for r, w in zip(rest, words) for s in slips(w)}
+    return inside | {s + tail for f in together(core) for s in slips(f)}
+
+
+def near(a: str, b: str) -> bool:
+    """Whether two names (words as written, and kind) have the same kind and cores at most one edit apart."""
+    (x, k), (y, m) = _split(a), _split(b)
+    if k != m:
+        return False
+    left, right = Counter(x) - Counter(y), Counter(y) - Counter(x)
+    if left.total() <= 1 and right.total() <= 1 and edits("".join(left), "".join(right)) <= 1:
+        return True
+    if abs(len("".join(x)) - len("".join(y))) > 1:
+        return False
+    return any(edits(p, q) <= 1 for p in together(x) for q in together(y))
 
-def _near(a: pd.Series, b: pd.Series) -> pd.Series:
-    def close(x: str, y: str) -> bool:
-        px, py = _split(x), _split(y)
-        return any(edits(p, q) <= 1 for p in written(*px) for q in written(*py))
 
-    return pd.Series([close(x, y) for x, y in zip(a, b)], dtype=bool)
+def _near(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([near(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def _split(key: str) -> tuple[list[str], str | None]:
@@ -171,50 +189,66 @@ def _split(key: str) -> tuple[list[str], str | None]:
     return core.split(" "), kind or None
 
 
-def link_names(names: DataFrame, name: str, least_rarity: float = 1.0) -> DataFrame:
+def link_names(names: DataFrame, name: str, least_score: float = 0.9) -> DataFrame:
     """``value, entity``: the organisation each distinct written name means.
 
     ``entity`` is the canonical form of the organisation's most frequent full writing. Values
     that name no organisation (nulls, blanks, signs only, words for none) have no row. Names
-    that are full (core words and a kind) and equal after rewriting are one; a full name one
-    slip away from a more frequent one joins it; a reduced name joins the full name it is a
-    rewriting of, the closest kind of rewriting first, if the rarity of that rewriting - 1 /
-    number of full names that share it - is at least ``least_rarity``. Any other reduced name stays on its own. Repeated rows
-    count as frequency only; ties go to the smaller form. Other columns are ignored.
+    that are full (core words and a kind) and equal after rewriting are one; a name one slip
+    away from a more frequent one joins it, and what that one joins. A reduced name could
+    stand for every organisation one of whose rewritings it is; of those, the closest kind of
+    rewriting counts. A rewriting's rarity for an organisation is that organisation's share of
+    all rows written in full by the organisations that share it: the chance that it is meant.
+    The reduced name joins the organisation if that is at least ``least_score``, else it stays
+    on its own. Repeated rows count as frequency only; ties go to the smaller form. Other
+    columns are ignored.
     """
     counts = names.select(F.col(name).cast("string").alias("value")).where(F.trim("value") != "").groupBy("value").agg(F.count("*").alias("n"))
-    parsed = materialize(counts.select("value").mapInArrow(_parsed, "value string, key string, core array<string>, kind string, said string"), "names")
-    keyed = parsed.join(counts, "value").groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"))
-    heads = parsed.groupBy("key").agg(F.min(F.struct("core", "kind")).alias("x")).select("key", "x.core", "x.kind")
+    parsed = materialize(counts.mapInArrow(_parsed, "value string, n long, key string, core array<string>, kind string, said string"), "names")
+    keyed = materialize(parsed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"), F.min(F.struct("core", "kind")).alias("x")).select("key", "n", "spellings", "x.*"), "keys")
     schema = "key string, form string, grade int"
     # one slip away: deletion forms, equi-joined and verified; the less frequent key follows the more frequent
-    slip = heads.mapInArrow(_exploded(_slipped), schema).distinct()
+    slip = keyed.select("key", "core", "kind").mapInArrow(_exploded(_slipped), schema).select("key", "form").distinct()
     a, b = slip.select(F.col("key").alias("a"), "form"), slip.select(F.col("key").alias("b"), "form")
     met = a.join(b, "form").where("a <> b").select("a", "b").distinct()
-    w = lambda p: keyed.select(F.col("key").alias(p), F.struct("n", "spellings").alias(f"w{p}"))
+    text = F.concat_ws(" #", F.array_join("core", " "), "kind")
+    w = lambda p: keyed.select(F.col("key").alias(p), F.struct("n", "spellings").alias(f"w{p}"), text.alias(f"text_{p}"))
     met = met.join(w("a"), "a").join(w("b"), "b").where((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b"))))
-    met = met.where(F.pandas_udf(_near, "boolean")("a", "b"))
-    follow = met.groupBy("a").agg(F.max_by("b", F.struct("wb", F.col("b"))).alias("to"))
-    follow = materialize(follow, "slips")
-    # a followed key that itself follows is resolved by one jump: what it follows is more frequent than both
-    second = follow.select(F.col("a").alias("to"), F.col("to").alias("far"))
-    follow = follow.join(second, "to", "left").select(F.col("a").alias("key"), F.coalesce("far", "to").alias("entity"))
-    settled = heads.join(follow, "key", "left").select("key", "core", "kind", F.coalesce("entity", "key").alias("entity"))
-    settled = materialize(settled, "settled")
+    met = met.where(F.pandas_udf(_near, "boolean")("text_a", "text_b"))
+    follow = _ends(met.groupBy("a").agg(F.max_by("b", F.struct("wb", F.col("b"))).alias("to")))
+    settled = materialize(keyed.join(follow.select(F.col("a").alias("key"), F.col("to").alias("entity")), "key", "left").withColumn("entity", F.coalesce("entity", "key")), "settled")
     # every order in which an organisation was written has reduced forms of its own
-    orders = parsed.where("kind is not null").select("key", "core", "kind").distinct().join(settled.select("key", "entity"), "key")
-    forms = orders.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity")
-    rare = forms.groupBy("form", "grade").agg(F.count("*").alias("sharing"), F.min("entity").alias("to"))
+    of = settled.select("key", "entity")
+    orders = parsed.where("kind is not null").select("key", "core", "kind").distinct().join(of, "key")
+    weight = settled.where("kind is not null").groupBy("entity").agg(F.sum("n").alias("n"))
+    forms = orders.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity").join(weight, "entity")
+    rare = forms.groupBy("form", "grade").agg(F.sum("n").alias("sharing"), F.max(F.struct("n", F.col("entity"))).alias("top"))
     # a legal form may also be initials, so the name is looked up with it as well
     short = parsed.where("kind is null").select("key", "core", "said").distinct()
     reduced = short.select("key", F.explode(F.array_distinct(F.array("said", "key", F.array_join("core", " "), F.array_join("core", "")))).alias("form")).distinct()
-    # of all organisations a name could be short for, those of the best grade; they must be rare enough
-    best = reduced.join(rare, "form").groupBy("key").agg(F.min_by(F.struct("sharing", "to"), F.struct("grade", "sharing", "to")).alias("x"))
-    joined = best.where(1 / F.col("x.sharing") >= least_rarity).select("key", F.col("x.to").alias("to"))
-    entity = settled.join(joined, "key", "left").select("key", F.coalesce("to", "entity").alias("entity"))
+    score = F.col("top.n") / F.col("sharing")
+    best = reduced.join(rare, "form").groupBy("key").agg(F.min_by(F.struct(score.alias("score"), F.col("top.entity").alias("to")), F.struct("grade", -score, "top.entity")).alias("x"))
+    joined = materialize(best.where(F.col("x.score") >= least_score).select("key", F.col("x.to").alias("to")), "joined")
+    # a reduced name that follows another one goes where that one goes
+    entity = of.join(joined, "key", "left").join(joined.select(F.col("key").alias("entity"), F.col("to").alias("further")), "entity", "left")
+    entity = entity.select("key", F.coalesce("to", "further", "entity").alias("entity"))
     return parsed.select("value", "key").join(entity, "key").select("value", "entity")
 
 
+def _ends(follow: DataFrame) -> DataFrame:
+    """``a, to`` with every ``to`` replaced by the end of the chain of follows it is in.
+
+    What is followed is always the more frequent, so there are no rings; every round doubles
+    the jumps, so a chain of n takes log2(n) rounds.
+    """
+    while True:
+        follow = materialize(follow, "follows")
+        on = follow.select(F.col("a").alias("to"), F.col("to").alias("far"))
+        if follow.join(on, "to", "left_semi").limit(1).count() == 0:
+            return follow
+        follow = follow.join(on, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
+
+
 def variant_pairs(linked: DataFrame) -> DataFrame:
     """``name_a < name_b`` (by code point), both naming the same organisation."""
     a, b = linked.select(F.col("value").alias("name_a"), "entity"), linked.select(F.col("value").alias("name_b"), "entity")

@@ -3,9 +3,11 @@
 A word is the normalised TF-IDF vector of its letter runs (one to four letters, with the
 word's edges, the whole word, and its script; runs that all languages use alike weigh
 little), a sentence the sum of its words, each weighted by the root
-of its length. Sentences are compared by cosine with clustered centroids of every language;
-a sentence whose distance to the nearest centroid is beyond what that language's own
-sentences show is rejected.
+of its length. Sentences, centred and of unit length, are compared by cosine with clustered
+centroids of every language; a sentence whose distance to the nearest centroid is beyond what
+that language's own sentences show is rejected, and so is one nearer to another language than
+its text's, unless clearly so. Cosines need a vector's part along the centroids, which is kept
+per word, and its length; the length of the rest is taken from ``SKETCH`` random directions.
 
 The classifier is fitted on at most ``SAMPLE_ROWS`` labelled documents per language. Labels
 may be wrong: sentences nearer to another language's centroid than to their own leave the
@@ -31,12 +33,18 @@ SAMPLE_SENTENCES = 16
 #: Hashed dimensions, and centroids per language.
 DIMENSIONS = 1 << 14
 CLUSTERS = 6
+#: Random directions from which the length of what no centroid accounts for is estimated (to about 1 / sqrt(2 * SKETCH)).
+SKETCH = 24
+#: A language's least cosine, as a share of the second percentile of its own sentences.
+FLOOR = 0.3
 #: Words that make a phrase count without the end mark of a sentence.
 PHRASE_WORDS = 5
 #: Least lead of the best language, as a share of its cosine, for a sentence to count.
 LEAST_LEAD = 0.12
 #: Least lead of another language over the main language of the text, and for sentences of fewer than SHORT words.
 SWITCH_LEAD, SHORT_LEAD, SHORT = 0.4, 0.7, 6
+#: Floors that a sentence in another language than its text's has to reach.
+SWITCH_FLOORS = 1.5
 
 #: Names under which a language is declared, by two-letter code. Codes may carry a region.
 NAMES = {
@@ -82,15 +90,34 @@ def word_vector(word: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """``axes``: the centroids less their mean, of unit length; ``bias``: the mean along each axis."""
+    """``basis``: orthonormal directions that span the centroids less their mean, then random
+    ones across them; ``centre``: that mean along each; ``points``: unit centroids in the basis."""
 
     langs: list[str]
     idf: np.ndarray
-    axes: np.ndarray  # dimensions x centroids
-    bias: np.ndarray
+    basis: np.ndarray  # dimensions x directions
+    centre: np.ndarray
+    points: np.ndarray  # directions of the first kind x centroids
     of: np.ndarray  # index of the language of each centroid
     floor: np.ndarray  # least cosine of each language's sentences
 
+    def cosines(self, along: np.ndarray) -> np.ndarray:
+        """Cosine with every centroid of vectors given along the basis."""
+        x = along - self.centre
+        n = len(self.points)
+        length = np.sqrt((x[:, :n] ** 2).sum(axis=1) + (x[:, n:] ** 2).mean(axis=1))
+        return (x[:, :n] @ self.points) / np.maximum(length, 1e-9)[:, None]
+
+
+def _basis(axes: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``basis, centre, points`` of a model from unit centroids (columns) and the mean."""
+    q, size, turn = np.linalg.svd(axes, full_matrices=False)
+    kept = size > 1e-6
+    q, points = q[:, kept], (size[:, None] * turn)[kept]
+    across = np.random.default_rng(3).standard_normal((len(axes), SKETCH))
+    basis = np.concatenate([q, across - q @ (q.T @ across)], axis=1).astype(np.float32)
+    return basis, (centre @ basis).astype(np.float32), points.astype(np.float32)
+
 
 class _Words:
     """Sparse vectors of a vocabulary, and sums of them weighted by counts."""
@@ -152,7 +179,7 @@ def fit(sample: list[tuple[str, list[str]]], least_rows: int = 3) -> Model:
         idf *= _telling(rows, vocab, len(langs))
     if not rows:
         none = np.zeros(0)
-        return Model([], idf, np.zeros((DIMENSIONS, 0), np.float32), none, np.zeros(0, int), none)
+        return Model([], idf, np.zeros((DIMENSIONS, SKETCH), np.float32), np.zeros(SKETCH), np.zeros((0, 0)), np.zeros(0, int), none)
     words = _Words(list(vocab), idf)
     label = np.array([r[0] for r in rows])
     flat = np.concatenate([[vocab[w] for w in ws] for _, ws in rows])
@@ -182,14 +209,18 @@ def fit(sample: list[tuple[str, list[str]]], least_rows: int = 3) -> Model:
         own = np.stack([near[np.arange(len(part)), np.maximum(part, 0) * CLUSTERS + j] for j in range(CLUSTERS)], 1).argmax(1)
         cluster = np.where(part >= 0, part * CLUSTERS + own, -1)
     used = np.unique(cluster[cluster >= 0])
-    axes, bias = _axes(means(cluster, len(langs) * CLUSTERS)[used], centre)
+    axes, _ = _axes(means(cluster, len(langs) * CLUSTERS)[used], centre)
     of = used // CLUSTERS
-    best = cosines(axes, bias)
-    floor = np.ones(len(langs))
+    basis, middle, points = _basis(axes, centre)
+    by_word = words.along(basis)
+    along = np.stack([np.bincount(sentence, by_word[flat, k]) for k in range(basis.shape[1])], 1) / weight[:, None]
+    model = Model(langs, idf, np.ascontiguousarray(basis), middle, points, of, np.ones(len(langs)))
+    best = model.cosines(along)
+    floor = model.floor
     for k in range(len(langs)):
         if (of == k).any() and (part == k).any():
-            floor[k] = 0.4 * float(np.percentile(best[part == k][:, of == k].max(1), 2))
-    return Model(langs, idf, np.ascontiguousarray(axes, dtype=np.float32), bias, of, floor)
+            floor[k] = FLOOR * float(np.percentile(best[part == k][:, of == k].max(1), 2))
+    return model
 
 
 class Scorer:
@@ -198,7 +229,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.m = model
         self.at: dict[str, int] = {}
-        self.scores = np.zeros((1024, len(model.of) + 1), np.float32)
+        self.scores = np.zeros((1024, model.basis.shape[1] + 1), np.float32)
 
     def word(self, w: str) -> int:
         i = self.at.get(w)
@@ -208,7 +239,7 @@ class Scorer:
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             low = w.lower()
             d, v = word_vector(low, self.m.idf)
-            self.scores[i, :-1] = v @ self.m.axes[d]
+            self.scores[i, :-1] = v @ self.m.basis[d]
             self.scores[i, -1] = np.sqrt(len(low))
             self.at[w] = i
         return i
@@ -226,7 +257,7 @@ class Scorer:
             b = min(a + 20_000, len(starts))
             lo, hi = starts[a], starts[b] if b < len(starts) else len(words)
             total = np.add.reduceat(self.scores[words[lo:hi]], starts[a:b] - lo, axis=0)
-            cosine = total[:, :-1] / np.maximum(total[:, -1:], 1e-9) - m.bias.astype(np.float32)
+            cosine = m.cosines(total[:, :-1] / np.maximum(total[:, -1:], 1e-9))
             for k in range(len(m.langs)):
                 if (m.of == k).any():
                     best[a:b, k] = cosine[:, m.of == k].max(1)
@@ -236,8 +267,10 @@ class Scorer:
 def judge(best: np.ndarray, doc: np.ndarray, counts: np.ndarray, size: np.ndarray, n_docs: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Language of each sentence (-1: rejected) and its lead over the next, as a share of its cosine.
 
-    The language that most words of a text are nearest to keeps a sentence of that text
-    unless another one leads it by ``SWITCH_LEAD`` (``SHORT_LEAD`` where it is short).
+    A sentence is rejected if its cosine is below the floor of its language. It is also
+    rejected if the language that most words of its text are nearest to is another one, and
+    its own does not lead that one by ``SWITCH_LEAD`` (``SHORT_LEAD`` where it is short), or
+    does not reach ``SWITCH_FLOORS`` floors.
     """
     n, langs = best.shape
     if not n or not langs:
@@ -250,14 +283,11 @@ def judge(best: np.ndarray, doc: np.ndarray, counts: np.ndarray, size: np.ndarra
     np.add.at(mass, (doc[good], top[good]), size[good])
     main = mass.argmax(1)[doc]
     lead_over_main = (high - np.maximum(best[at, main], 0)) / np.maximum(high, 1e-9)
-    stay = (top != main) & (mass.max(1)[doc] > 0) & ((lead_over_main < np.where(size < SHORT, SHORT_LEAD, SWITCH_LEAD)) | ((size < SHORT) & (high < 4 * floor[top])))
-    top = np.where(stay, main, top)
-    high = best[at, top]
+    unsure = (top != main) & (mass.max(1)[doc] > 0) & ((lead_over_main < np.where(size < SHORT, SHORT_LEAD, SWITCH_LEAD)) | (high < SWITCH_FLOORS * floor[top]))
     others = best.copy()
     others[at, top] = -1
     lead = np.clip((high - np.maximum(others.max(1), 0)) / np.maximum(high, 1e-9), 0, 1)
-    # a sentence that stays with its text needs no distance of its own
-    return np.where(stay | (high >= floor[top]), top, -1), np.where(stay, np.maximum(lead, LEAST_LEAD), lead)
+    return np.where(unsure | (high < floor[top]), -1, top), lead
 
 
 @dataclass

@@ -17,6 +17,10 @@ _DROP = re.compile(
 )
 _LINE_START = re.compile(r"^[ \t]*(?:>[ \t]?)*(?:[-*+•][ \t]+|\d{1,3}[.)][ \t]+)?", re.M)
 _INLINE = re.compile(r"`[^`\n]*`|\b(?:https?|ftp|mailto|ssh|git):\S+|\bwww\.\S+|[\w.+-]+@[\w.-]+|<[^<>\n]{1,200}>")
+#: Addresses of mail whose signs are spelled out.
+_SPELLED = re.compile(r"[\w.+-]+\s?(?:[(\[{<]\s?at\s?[)\]}>]|\bat\b)\s?[\w-]+(?:(?:\.|\s?(?:[(\[{<]\s?dot\s?[)\]}>]|\bdot\b)\s?)[\w-]+)+", re.I)
+#: What tells such an address from plain words, as in "look at this dot".
+_SIGNS = re.compile(r"[)\]}>]|AT|^\S*[\d._+-]\S* .* dot ")
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\n]*\)")
 #: Ends of sentences. Abbreviations with inner dots and numbers keep together.
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*\s+(?=\S)|(?<=[。！？])[”’」』）]*\s*|\n+|\s+[|•·/]\s+")
@@ -35,5 +39,7 @@ def sentences(text: str) -> list[str]:
         text = _LINK.sub(r"\1", text)
     if "@" in text or ":" in text or "`" in text or "<" in text or "www." in text:
         text = _INLINE.sub(" ", text)
+    if "dot" in text or "DOT" in text or "at)" in text or "at]" in text:
+        text = _SPELLED.sub(lambda m: " " if _SIGNS.search(m.group()) else m.group(), text)
     text = _LINE_START.sub("", text)
     return [s for s in (x.strip() for x in _END.split(text)) if s]

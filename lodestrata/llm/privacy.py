@@ -1,27 +1,32 @@
 """Personal information inside free text (problem 6): information-theoretic sanitisation.
 
-Values with a form of their own (addresses of mail, phones, numbers of persons, streets) are
-protected entities found by pattern. Names of persons have none, so the corpus tells which
-terms reveal them: over all texts it is counted how often each capitalised term occurs, and how
-often together with a protected entity that it discloses, an email address whose local part
-spells the term. A term's disclosure is the pointwise mutual information of the two, in bits;
-a context's (the two words before a term) is the share of its terms that disclose. Terms and
-contexts above their thresholds mark names, which are then generalised to a placeholder.
-
-What crosses the network is counts per term and (context, term); what reaches every task is
-two bit tables of fixed size.
+Patterns only propose. They propose values with a form of their own (addresses of mail,
+phones, numbers of persons, streets) and, as possible names, every capitalised term. What is
+replaced is decided by how strongly terms reveal a protected entity, estimated from the
+co-occurrences of the whole corpus as pointwise mutual information, in bits:
+
+- a value with a form, by its features (its shape in digits and signs, the word before it, the
+  words of a street): the rate at which a feature occurs in values of a kind, against the rate
+  of that kind in the corpus;
+- a name, by its term: how often it stands with an email address that spells it, against how
+  often any term does; and by its context (the two words before it, or an address right
+  behind it): the share of the context's terms that disclose.
+
+Every distinct text is read once. Its candidates, with all that a decision may need, become
+rows; learning and deciding are aggregates and joins of these rows, exact at every size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestrata.llm.canonical import fold
 from lodestrata.session import materialize
 
 #: A term must co-occur this often with what it discloses, with this many bits.
@@ -34,10 +39,9 @@ SURE_TOLD = 1 / 2
 #: Least occurrences of a context, and share of its terms that disclose.
 LEAST_CONTEXT = 4
 LEAST_SHARE = 0.4
-#: Bits of each table.
-TABLE_BITS = 1 << 22
-#: Pairs a task gathers before it passes their counts on.
-FLUSH = 200_000
+#: A feature of a form discloses its kind from this rate or these bits on.
+SURE_FORM = 1 / 2
+FORM_BITS = 3.0
 
 #: Words before a number that identifies a person.
 ID_LABELS = (
@@ -75,15 +79,22 @@ ADDRESS = re.compile(
 )
 _FENCE = re.compile(r"^[ \t>]*(```|~~~).*?(?:^[ \t>]*\1[^\n]*$|\Z)", re.M | re.S)
 _COMMENT = re.compile(r"[ \t]*(?:#+|//+|--|;+|/?\*+|<!--|%+)[ \t]")
-_CAP = re.compile(r"(?<![\w@.+/-])(?:[A-ZÀ-ÖØ-ÞĀ-Ž](?:[a-zß-öø-ÿā-ž'’]+(?:-[A-ZÀ-Þ][a-zß-öø-ÿ'’]+)*|\.))(?![\w@])")
+#: Letters that begin a name, and those that go on.
+_UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽČĆĐŁŚŹŻŃŐŰĞİŞА-ЯЁ", "a-zß-öø-ÿā-žа-яё'’"
+_CAP = re.compile(rf"(?<![\w@.+/-])(?:[{_UP}](?:[{_LOW}]+(?:-[{_UP}][{_LOW}]+)*|\.))(?![\w@])")
 _BEFORE = re.compile(r"(\S+)[ \t]+(\S+)[ \t]+$|(\S+)[ \t]+$")
-_EARLIER = re.compile(r"(?<![\w@.+/,-])(?:[A-ZÀ-Þ](?:[a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*,?|\.) ){1,2}$")
-_RUN = r"(?:[A-ZÀ-Þ](?:[a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*|\.),? )"
+_WORD = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)*"
+_RUN = rf"(?:(?:{_WORD}|[{_UP}]\.),? )"
+_EARLIER = re.compile(rf"(?<![\w@.+/,-]){_RUN}{{1,2}}$")
 _BEFORE_EMAIL = re.compile(rf"(?<![\w@.+/,-])({_RUN}{{1,3}})<$")
-_BEFORE_ADDRESS = re.compile(rf"(?:^|[\n.!?。！？|>#:/;]\s*|^\W+\s*)({_RUN}{{0,2}}[A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*), $")
-_LAST_FIRST = re.compile(r"(?<![\w@.+/-])([A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*), $")
-_REST = re.compile(r"(?: [A-ZÀ-Þ]\.)*(?: (?:van |von |de |da |del |di )?[A-ZÀ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-Þ][a-zß-ÿ'’]+)*)?")
-_AFTER_LAST = re.compile(r", ([A-ZÀ-Þ][a-zß-ÿ'’]+)")
+_BEFORE_ADDRESS = re.compile(rf"(?:^|[\n.!?。！？|>#:/;]\s*|^\W+\s*)({_RUN}{{0,2}}{_WORD}), $")
+_LAST_FIRST = re.compile(rf"(?<![\w@.+/-])({_WORD}), $")
+_REST = re.compile(rf"(?: [{_UP}]\.)*(?: (?:van |von |de |da |del |di )?{_WORD})?")
+_AFTER_LAST = re.compile(rf", ([{_UP}][{_LOW}]+)")
+#: A number with its signs, or what has a sign of mail in it: the places where a value may be.
+_PLACE = re.compile(r"[+(]?\d(?:[\d ().,:/+-]*\d)?|[\w.+-]+@[\w.-]+")
+_DIGIT = re.compile(r"\d")
+_SPACE = re.compile(r"\s+")
 _LOCAL = re.compile(r"[a-z]{3,}")
 
 
@@ -138,7 +149,7 @@ def context_of(plain: str, start: int) -> str:
 
 def _spelled(term: str, local: str) -> bool:
     """Whether the local part of an address spells the term."""
-    t = term.lower().replace("'", "").replace("’", "")
+    t = fold(term).replace("'", "").replace("’", "")
     return len(t) >= 3 and any(t == p or (len(t) >= 4 and p.endswith(t) and len(p) <= len(t) + 2) for p in _LOCAL.findall(local))
 
 
@@ -152,210 +163,249 @@ def _disclosed(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per context and term, occurrences and those that disclose, over the distinct texts and (``all_``) over their copies."""
-    seen: dict[tuple[str, str], list[int]] = {}
+#: Columns of a candidate: its text, what it is (``cap`` a term, ``run`` the terms before an address, ``span`` a value
+#: with a form, ``mark`` a feature), and where a name that begins with it would begin or end in each case.
+ROW = "h1 long, h2 long, copies long, what string, kind string, term string, context string, s int, e int, n int, near boolean, back int, early int, follow string, follow_e int, rest int, org int"
+_TYPES = {"long": pa.int64(), "string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_FIELDS = [tuple(f.strip().split(" ")) for f in ROW.split(",")]
 
-    def out() -> pa.RecordBatch:
-        cols = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string())]
-        cols += [pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(4)]
-        seen.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["context", "term", "n", "events", "all_n", "all_events"])
 
-    for batch in batches:
-        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            plain = _FENCE.sub(_blank, text) if "```" in text or "~~~" in text else text
-            near = _disclosed(text, patterned(text, plain)) if _has_email(text) else []
-            for m in _CAP.finditer(plain):
-                term, s = m.group(), m.start()
-                if len(term) < 3:
-                    continue
-                key = (context_of(plain, s), term)
-                counts = seen.get(key)
-                if counts is None:
-                    counts = seen[key] = [0, 0, 0, 0]
-                counts[0] += 1
-                counts[2] += copies
-                if near and any(a <= s < b and _spelled(term, local) for a, b, local in near):
-                    counts[1] += 1
-                    counts[3] += copies
-        if len(seen) > FLUSH:
-            yield out()
-    yield out()
-
-
-def _bit(key: str) -> int:
-    return xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass")) % TABLE_BITS
-
-
-class Table:
-    """Membership in a bit table of fixed size."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-        self.known: dict[str, bool] = {}
-
-    def __contains__(self, key: str) -> bool:
-        hit = self.known.get(key)
-        if hit is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            i = _bit(key)
-            hit = self.known[key] = bool(self.bits[i >> 3] >> (i & 7) & 1)
-        return hit
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_bit(k) for k in batch.column(0).to_pylist()], pa.int32())], names=["bit"])
+def _organised(plain: str, s: int, e: int) -> bool:
+    """Whether the run, with the word behind it, names an organisation."""
+    run = plain[s:e]
+    words = re.findall(r"[^\W\d_]+", run + " " + plain[e : e + 14].split("\n")[0])
+    return any(w.lower() in ORGANISATION for w in words[: len(run.split()) + 1])
+
+
+def features(kind: str, value: str, before: str) -> list[str]:
+    """What tells a value with a form: its shape, the word before it; of a street its words."""
+    if kind == "street_address":
+        return [f"street {w.lower()}" for w in re.findall(r"[^\W\d_]{2,}", value)] or ["street"]
+    if kind == "email" or "@" in value:
+        return [f"mail {before}", "sign " + ("@" if "@" in value else "at"), "host " + re.sub(r".*[@\s)\]}]", "", value).lower()]
+    return [f"word {before}", "shape " + _DIGIT.sub("0", value)[:24]]
+
+
+def scan(text: str) -> list[tuple]:
+    """The candidates of a text, as ``ROW`` without the first three columns."""
+    plain = _FENCE.sub(_blank, text) if "```" in text or "~~~" in text else text
+    spans = patterned(text, plain)
+    near = _disclosed(text, spans) if spans else []
+    rows: list[tuple] = []
+    marks: Counter = Counter()
+
+    def word_before(at: int) -> str:
+        m = _BEFORE.search(plain, max(plain.rfind("\n", 0, at) + 1, at - 40), at)
+        return re.sub(r"[\W\d_]+", "", (m.group(2) or m.group(3)).lower()) if m else ""
+
+    for s, e, kind in spans:
+        trim = s
+        while trim > 0 and text[trim - 1] in " ,<":
+            trim -= 1
+        rows.append(("span", kind, None, None, s, e, 1, None, trim, None, None, None, None, None))
+        rows += [("mark", kind, f, None, s, e, 1, None, None, None, None, None, None, None) for f in dict.fromkeys(features(kind, text[s:e], word_before(s)))]
+        # whoever stands right before an address, of mail or of a street
+        before = {"email": _BEFORE_EMAIL, "street_address": _BEFORE_ADDRESS}.get(kind)
+        lo = max(0, s - 64, plain.rfind("\n", 0, s) + 1)
+        if before and (m := before.search(plain[lo:s])):
+            run = m.group(1).rstrip(" ,")
+            rows.append(("run", "person_name", run, f">{kind}", lo + m.start(1), lo + m.start(1) + len(run), 1, None, None, None, None, None, None, None))
+    at = 0
+    for m in _PLACE.finditer(plain):
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
+        if at == len(spans) or spans[at][0] >= m.end():
+            marks.update(features("", m.group(), word_before(m.start())))
+    rows += [("mark", "", f, None, -1, -1, n, None, None, None, None, None, None, None) for f, n in marks.items()]
+    streets = [(a, b) for a, b, kind in spans if kind == "street_address"]
+    for m in _CAP.finditer(plain):
+        s, e = m.span()
+        last, early, follow = _LAST_FIRST.search(plain, max(0, s - 60), s), _EARLIER.search(plain, max(0, s - 50), s), _AFTER_LAST.match(plain, e)
+        back, begin = last.start() if last else -1, early.start() if early else -1
+        follow_e, rest = follow.end() if follow else -1, _REST.match(plain, e).end()
+        org = (begin >= 0 and _organised(plain, begin, e)) + 2 * (follow_e >= 0 and _organised(plain, s, follow_e)) + 4 * _organised(plain, s, rest)
+        spelled = any(a <= s < b and _spelled(m.group(), local) for a, b, local in near)
+        rows.append(("cap", "street_address" if any(a <= s < b for a, b in streets) else "", m.group(), context_of(plain, s), s, e, 1, spelled, back, begin, follow.group(1) if follow else None, follow_e, rest, org))
+    return rows
+
+
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, len(whole), 1000):
+            batch = whole.slice(at, 1000)
+            rows: list[tuple] = []
+            for key, text in zip(zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))), batch.column(3).to_pylist()):
+                rows += [(*key, *r) for r in scan(text)]
+            columns = list(zip(*rows)) or [()] * len(_FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
+
+
+def _hashes(text: str) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def _table(keys: DataFrame) -> np.ndarray:
-    """The bit table of a column of strings; at most ``TABLE_BITS`` distinct numbers reach the driver."""
-    got = keys.mapInArrow(_bits, "bit int").distinct().toArrow().column(0).to_numpy()
-    bits = np.zeros(TABLE_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, got >> 3, (1 << (got & 7)).astype(np.uint8))
-    return bits
+def candidates(texts: DataFrame, text: str) -> DataFrame:
+    """The candidates of every distinct text (``ROW``), read once; null and empty texts have none."""
+    once = texts.where(F.col(text) != "").groupBy(*_hashes(text)).agg(F.first(text).alias("text"), F.count("*").alias("copies"))
+    return materialize(once.select("h1", "h2", "copies", "text").mapInArrow(_scanned, ROW), "candidates")
 
 
-def learn(texts: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bit tables of the terms and contexts that disclose persons, from all rows of ``texts``.
+@dataclass(frozen=True)
+class Learned:
+    """``terms`` (term) and ``contexts`` (context) that disclose persons; ``features`` (kind, term,
+    discloses) of values with a form."""
+
+    terms: DataFrame
+    contexts: DataFrame
+    features: DataFrame
+
+
+def learn(found: DataFrame) -> Learned:
+    """What discloses, from the candidates of a corpus.
 
     Rates are those over distinct texts, so that a text copied often weighs no more than
     another; how often something occurs at least is counted over all rows.
     """
-    once = texts.groupBy(F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")).agg(F.first(text).alias("text"), F.count("*").alias("copies"))
-    pairs = once.select("text", "copies").mapInArrow(_counts, "context string, term string, n long, events long, all_n long, all_events long")
     total = lambda *names: [F.sum(c).alias(c) for c in names]
-    pairs = materialize(pairs.groupBy("context", "term").agg(*total("n", "events", "all_n", "all_events")), "terms")
-    n, events = pairs.agg(F.sum("n"), F.sum("events")).first()
-    if not events:
-        none = np.zeros(TABLE_BITS // 8, np.uint8)
-        return none, none
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    caps = found.where("what = 'cap' and length(term) > 2").select("context", "term", F.lit(1).alias("n"), F.col("near").cast("int").alias("events"), "copies")
+    pairs = caps.groupBy("context", "term").agg(*total("n", "events"), F.sum("copies").alias("all_n"), F.sum(F.col("events") * F.col("copies")).alias("all_events"))
+    pairs = materialize(pairs, "terms")
+    every = pairs.agg(*total("n", "events")).first()
+    n, events = every[0] or 0, every[1] or 0
     rate = F.col("events") / F.col("n")
     discloses = lambda base, sure: (rate >= sure) | (F.log2(rate / F.lit(base)) >= LEAST_BITS)
     terms = pairs.groupBy("term").agg(*total("n", "events", "all_events"))
-    loud = terms.where((F.col("all_events") >= LEAST_EVENTS) & discloses(events / n, SURE_RATE)).select("term")
-    marked = pairs.where("context <> ''").join(loud.withColumn("loud", F.lit(1)), "term", "left")
+    loud = materialize(terms.where((F.col("all_events") >= LEAST_EVENTS) & discloses(max(events, 1) / max(n, 1), SURE_RATE)).select("term"), "loud")
+    loudly = loud.withColumn("loud", F.lit(1))
     hits = lambda c: F.sum(F.when(F.col("loud") == 1, F.col(c)).otherwise(0))
+    marked = pairs.where("context <> ''").select("context", "term", "n", "all_n").join(loudly, "term", "left")
+    # the words before an address are a context as well, in which they disclose together
+    runs = found.where("what = 'run'").select("h1", "h2", "s", "copies", "context", F.explode(F.split("term", r"[ ,]+")).alias("term")).join(loudly, "term", "left")
+    runs = runs.groupBy("h1", "h2", "s", "context").agg(F.lit(1).alias("n"), F.max("copies").alias("all_n"), F.max("loud").alias("loud"))
+    marked = marked.select("context", "n", "all_n", "loud").unionByName(runs.select("context", "n", "all_n", "loud"))
     contexts = marked.groupBy("context").agg(*total("n", "all_n"), hits("n").alias("hits"), hits("all_n").alias("all_hits"))
     telling = contexts.where((F.col("all_n") >= LEAST_CONTEXT) & (F.col("hits") >= LEAST_SHARE * F.col("n")) & (F.col("all_hits") >= 3)).select("context")
     telling = materialize(telling, "contexts")
     # a term also co-occurs with a person where it follows a telling context
-    told = lambda events, n: F.greatest(events, F.when(F.col("told") == 1, F.col(n)).otherwise(0)).alias(events)
-    seen = pairs.join(telling.withColumn("told", F.lit(1)), "context", "left").select("term", "n", told("events", "n"), told("all_events", "all_n"))
+    follows = lambda events, n: F.greatest(events, F.when(F.col("told") == 1, F.col(n)).otherwise(0)).alias(events)
+    seen = pairs.join(telling.withColumn("told", F.lit(1)), "context", "left").select("term", "n", follows("events", "n"), follows("all_events", "all_n"))
     seen = seen.groupBy("term").agg(*total("n", "events", "all_events"))
-    base = seen.agg(F.sum("events") / F.sum("n")).first()[0]
+    base = seen.agg(over(F.sum("events"), F.sum("n"))).first()[0] or 1.0
     strong = (F.col("all_events") > LEAST_EVENTS) & discloses(base, SURE_TOLD)
-    return _table(loud.unionByName(seen.where(strong).select("term")).distinct()), _table(telling)
-
-
-def persons(text: str, plain: str, spans: list[tuple[int, int, str]], terms: Table, contexts: Table) -> list[tuple[int, int, str]]:
-    """Names of persons outside ``spans``."""
-    near = _disclosed(text, spans)
+    terms = materialize(loud.unionByName(seen.where(strong).select("term")).distinct(), "disclosing")
+    # features: the share of a feature's places that hold a value of the kind, against all places' share;
+    # a street's words are places wherever they are capitalised
+    words = found.where("what = 'cap' and kind = ''").select(F.lit("").alias("kind"), F.concat(F.lit("street "), F.lower("term")).alias("term"), "n")
+    marks = found.where("what = 'mark'").select("kind", "term", "n").unionByName(words).groupBy("kind", "term").agg(F.sum("n").alias("n"))
+    family = F.when(F.col("term").startswith("street"), "street").when(F.col("term").startswith("shape") | F.col("term").startswith("word"), "number").otherwise("mail")
+    marks = materialize(marks.withColumn("family", family), "marks")
+    places = marks.groupBy("family").agg(F.sum("n").alias("places"))
+    kinds = marks.where("kind <> ''").groupBy("family", "kind").agg(F.sum("n").alias("values"))
+    by = marks.groupBy("family", "term").agg(F.sum("n").alias("of_term"))
+    joined = marks.where("kind <> ''").join(by, ["family", "term"]).join(kinds, ["family", "kind"]).join(places, "family")
+    share = F.col("n") / F.col("of_term")
+    bits = F.log2(share / (F.col("values") / F.col("places")))
+    return Learned(terms, telling, materialize(joined.select("kind", "term", ((share >= SURE_FORM) | (bits >= FORM_BITS)).alias("discloses")), "features"))
+
+
+#: What of a candidate decides: the columns of ``decide``.
+EVIDENCE = ["what", "kind", "s", "e", "loud", "near", "back", "early", "follow_e", "rest", "org"]
+
+
+def decide(evidence: list[tuple]) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the values of one text, from its ``EVIDENCE``: values with a form, terms
+    that disclose or are disclosed (each with the whole name around it), and names before addresses."""
+    spans = sorted((s, e, kind, back) for what, kind, s, e, _, _, back, *_ in evidence if what == "span")
     out: list[tuple[int, int, str]] = []
     end = -1
-    for m in _CAP.finditer(plain):
-        s, e, term = m.start(), m.end(), m.group()
+    for _, _, s, e, loud, near, back, early, follow_e, rest, org in sorted((x for x in evidence if x[0] == "cap"), key=lambda x: x[2]):
         if s < end:
             continue
-        loud = len(term) > 2 and term in terms
-        told = not loud and any(a <= s < b and _spelled(term, local) for a, b, local in near)
-        if not loud and not told and context_of(plain, s) not in contexts:
-            continue
-        if loud and (back := _LAST_FIRST.search(plain, max(0, s - 60), s)) and back.start() >= end:
-            s = back.start()
-        elif told and (back := _EARLIER.search(plain, max(end, s - 50, 0), s)):
-            s = back.start()
+        if loud and back >= max(end, 0):
+            s = back
+        elif near and not loud and early >= max(end, 0):
+            s, org = early, org & 1
+        elif not loud and follow_e >= 0:
+            e, org = follow_e, org & 2
         else:
-            follow = _AFTER_LAST.match(plain, e)
-            if not loud and follow and follow.group(1) in terms:
-                e = follow.end()
-            else:
-                rest = _REST.match(plain, e)
-                e = rest.end() if rest else e
-        run = plain[s:e]
-        words = re.findall(r"[^\W\d_]+", run + " " + plain[e : e + 14].split("\n")[0])
-        if any(w.lower() in ORGANISATION for w in words[: len(run.split()) + 1]) and not loud:
+            e, org = rest, org & 4
+        if org and not loud:
             continue
-        if any(s < b and e > a for a, b, _ in spans):
-            s2 = [a for a, b, _ in spans if s < b and e > a]
-            if min(s2) <= s:
+        over = [(a, trim) for a, b, _, trim in spans if s < b and e > a]
+        if over:
+            first, trim = min(over)
+            if first <= s:
                 continue
-            e = min(s2)
-            while e > s and plain[e - 1] in " ,<":
-                e -= 1
-        out.append((s, e, "person_name"))
-        end = e
-    # whoever stands right before an address, of mail or of a street, is disclosed by it
-    for a, _, kind in spans:
-        before = {"email": _BEFORE_EMAIL, "street_address": _BEFORE_ADDRESS}.get(kind)
-        lo = max(0, a - 64, plain.rfind("\n", 0, a) + 1)
-        m = before.search(plain[lo:a]) if before else None
-        if m:
-            s, e = lo + m.start(1), lo + m.end(1)
-            e -= len(m.group(1)) - len(m.group(1).rstrip(" ,"))
-            if not any(x < e and y > s for x, y, _ in out) and not any(x < e and y > s for x, y, _ in spans):
-                out.append((s, e, "person_name"))
-    return out
-
-
-def _found(learned, keep: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, contexts = (Table(b) for b in learned.value)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                out = []
-                for text in batch.column(keep).to_pylist():
-                    out.append([{"kind": k, "start_pos": s + 1, "end_pos": e} for s, e, k in find(text, terms, contexts)] if text else [])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(out, kind)], names=[*batch.schema.names[:keep], "found"])
-
-    return run
-
-
-def find(text: str, terms: Table, contexts: Table) -> list[tuple[int, int, str]]:
-    plain = _FENCE.sub(_blank, text) if "```" in text or "~~~" in text else text
-    spans = patterned(text, plain)
-    return sorted(spans + persons(text, plain, spans, terms, contexts))
-
-
-def personal_values(texts: DataFrame, keys: list[str], text: str, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+            e = trim
+        if e > s:
+            out.append((s, e, "person_name"))
+            end = e
+    for what, kind, s, e, *_ in evidence:
+        if what == "run" and not any(a < e and b > s for a, b, *_ in [*out, *spans]):
+            out.append((s, e, kind))
+    return sorted([*out, *((s, e, kind) for s, e, kind, _ in spans)])
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string())]))
+    for batch in batches:
+        out = [decide([tuple(x[c] for c in EVIDENCE) for x in rows]) for rows in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([[dict(zip("se", x), kind=x[2]) for x in rows] for rows in out], kind)], names=["h1", "h2", "found"])
+
+
+def _values(found: DataFrame, learned: Learned) -> DataFrame:
+    """``h1, h2, found``: the values of each text that has any."""
+    key = ["h1", "h2", "s"]
+    known = found.where("what = 'mark' and kind <> ''").select(*key, "kind", "term").join(learned.features, ["kind", "term"], "left")
+    # what the corpus does not know is judged by itself: all its places hold the value
+    told = known.groupBy(*key, "kind").agg(F.max(F.coalesce("discloses", F.lit(True))).alias("discloses")).where("discloses")
+    spans = found.where("what = 'span'").join(told.select(*key, "kind"), [*key, "kind"], "left_semi").withColumn("loud", F.lit(False))
+    runs = found.where("what = 'run'").join(learned.contexts, "context", "left_semi").withColumn("loud", F.lit(False))
+    caps = found.where("what = 'cap'")
+    caps = caps.join(learned.terms.select("term", F.lit(True).alias("is_loud")), "term", "left").join(learned.contexts.select("context", F.lit(True).alias("told")), "context", "left")
+    caps = caps.withColumn("loud", F.coalesce("is_loud", F.lit(False)) & (F.length("term") > 2)).where("loud or near or told")
+    caps = caps.join(learned.terms.select(F.col("term").alias("follow"), F.lit(True).alias("followed")), "follow", "left")
+    caps = caps.withColumn("follow_e", F.when(F.col("followed"), F.col("follow_e")).otherwise(-1))
+    keep = ["h1", "h2", F.struct(*EVIDENCE).alias("x")]
+    each = spans.select(*keep).unionByName(runs.select(*keep)).unionByName(caps.select(*keep))
+    by = each.groupBy("h1", "h2").agg(F.collect_list("x").alias("evidence"))
+    return materialize(by.mapInArrow(_decided, "h1 long, h2 long, found array<struct<s:int,e:int,kind:string>>"), "values")
+
+
+def find(text: str, terms: set[str], contexts: set[str]) -> list[tuple[int, int, str]]:
+    """The values of one text, given the terms and contexts that disclose; features unknown to the corpus."""
+    evidence = []
+    for what, kind, term, context, s, e, _, near, back, early, follow, follow_e, rest, org in scan(text) if text else []:
+        loud = what == "cap" and len(term) > 2 and term in terms
+        if what == "span" or (what == "run" and context in contexts) or (what == "cap" and (loud or near or context in contexts)):
+            evidence.append((what, kind, s, e, loud, near, back, early, follow_e if follow in terms else -1, rest, org))
+    return decide(evidence)
+
+
+def personal_values(texts: DataFrame, keys: list[str], text: str, learned: Learned, found: DataFrame | None = None) -> DataFrame:
     """``keys`` and one row per personal value: ``kind, start_pos, end_pos`` (characters from 1, inclusive).
 
     Kinds: ``email, phone, id_number, street_address, person_name``. Labels and titles are no
     part of a value; logins at hosts are no emails. Null and empty texts give no rows,
-    repeated rows give repeated results. Texts are read whole.
+    repeated rows give repeated results. Texts are read whole; ``found`` are their
+    candidates if they have been read already.
     """
-    fields = ", ".join(f"`{n}` {t}" for n, t in texts.select(*keys).dtypes)
-    shared = texts.sparkSession.sparkContext.broadcast(learned)
-    each = texts.select(*keys, text).mapInArrow(_found(shared, len(keys)), f"{fields}, found array<struct<kind:string,start_pos:long,end_pos:long>>")
-    return each.select(*keys, F.explode("found").alias("f")).select(*keys, "f.*")
+    values = _values(found if found is not None else candidates(texts, text), learned)
+    each = texts.where(F.col(text) != "").select(*keys, *_hashes(text)).join(values, ["h1", "h2"])
+    return each.select(*keys, F.explode("found").alias("f")).select(*keys, "f.kind", (F.col("f.s") + 1).cast("long").alias("start_pos"), F.col("f.e").cast("long").alias("end_pos"))
 
 
-def sanitize(texts: DataFrame, keys: list[str], text: str, learned: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def sanitize(texts: DataFrame, keys: list[str], text: str, learned: Learned, found: DataFrame | None = None) -> DataFrame:
     """``keys`` and ``text`` with every personal value replaced by ``[EMAIL]``, ``[PHONE]``,
     ``[ID_NUMBER]``, ``[STREET_ADDRESS]`` or ``[PERSON_NAME]``, and ``replaced``, their number.
     A null text stays null."""
-    shared = texts.sparkSession.sparkContext.broadcast(learned)
-    keep = len(keys)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, contexts = (Table(b) for b in shared.value)
-        for batch in batches:
-            out, counts = [], []
-            for t in batch.column(keep).to_pylist():
-                spans = find(t, terms, contexts) if t else []
-                parts, at = [], 0
-                for s, e, k in spans:
-                    parts += [t[at:s], f"[{k.upper()}]"]
-                    at = e
-                out.append("".join([*parts, t[at:]]) if t is not None else None)
-                counts.append(len(spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=[*batch.schema.names[:keep], text, "replaced"])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in texts.select(*keys).dtypes)
-    return texts.select(*keys, text).mapInArrow(run, f"{fields}, `{text}` string, replaced int")
+    values = _values(found if found is not None else candidates(texts, text), learned)
+    keyed = texts.select(*keys, F.col(text).alias("__text"), *_hashes(text)).join(values, ["h1", "h2"], "left")
+    piece = lambda at, e: F.substr("__text", at + 1, e - at)
+    # one step per value: the text up to it and its placeholder
+    step = lambda acc, v: F.struct(F.concat(acc["out"], piece(acc["at"], v["s"]), F.lit("["), F.upper(v["kind"]), F.lit("]")).alias("out"), v["e"].alias("at"))
+    done = F.aggregate(F.coalesce("found", F.array().cast("array<struct<s:int,e:int,kind:string>>")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
+    keyed = keyed.withColumn("__done", done)
+    clean = F.when(F.col("found").isNull(), F.col("__text")).otherwise(F.concat("__done.out", piece(F.col("__done.at"), F.length("__text"))))
+    return keyed.select(*keys, clean.alias(text), F.coalesce(F.size("found"), F.lit(0)).alias("replaced"))

@@ -280,16 +280,18 @@ def _personal(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Where personal values stand in bios and readmes."""
-    from lodestrata.llm.privacy import learn, personal_values
+    from lodestrata.llm.privacy import candidates, learn, personal_values
 
     texts = _personal(spark, d)
-    return personal_values(texts, ["field", "ref_id"], "text", learn(texts, "text")).select("field", "ref_id", "kind", "start_pos").distinct()
+    found = candidates(texts, "text")
+    return personal_values(texts, ["field", "ref_id"], "text", learn(found), found).select("field", "ref_id", "kind", "start_pos").distinct()
 
 
 @query
 def p6_sanitized(spark: SparkSession, d: str) -> DataFrame:
     """Bios and readmes with placeholders."""
-    from lodestrata.llm.privacy import learn, sanitize
+    from lodestrata.llm.privacy import candidates, learn, sanitize
 
     texts = _personal(spark, d)
-    return sanitize(texts, ["field", "ref_id"], "text", learn(texts, "text")).distinct()
+    found = candidates(texts, "text")
+    return sanitize(texts, ["field", "ref_id"], "text", learn(found), found).distinct()

@@ -1,5 +1,6 @@
 """Languages, personal values, reading levels, packing and mixing."""
 
+import functools
 import random
 from collections import Counter, defaultdict
 
@@ -108,12 +109,20 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def learned(spark):
-    return P.learn(spark.createDataFrame([(t,) for t in TEXTS], "t string"), "t")
+    return learning(spark, TEXTS)
+
+
+def learning(spark, texts):
+    return P.learn(P.candidates(spark.createDataFrame([(t,) for t in texts], "t string"), "t"))
+
+
+@functools.lru_cache(maxsize=None)
+def known(learned):
+    return {r.term for r in learned.terms.collect()}, {r.context for r in learned.contexts.collect()}
 
 
 def values(learned, text):
-    terms, contexts = (P.Table(b) for b in learned)
-    return [(k, text[s:e]) for s, e, k in P.find(text, terms, contexts)]
+    return [(k, text[s:e]) for s, e, k in P.find(text, *known(learned))]
 
 
 @pytest.mark.parametrize("text, want", [
@@ -140,7 +149,7 @@ def test_personal_values_and_placeholders(spark, learned):
 
 
 def test_learning_from_nothing(spark):
-    none = P.learn(spark.createDataFrame([(None,), ("",)], "t string"), "t")
+    none = learning(spark, [None, ""])
     assert values(none, "Petra Foo and x@y.test") == [("email", "x@y.test")]
     assert P.personal_values(spark.createDataFrame([], "id long, t string"), ["id"], "t", none).count() == 0
 
@@ -151,7 +160,7 @@ def test_a_copied_text_does_not_hide_other_names(spark):
     rows = [copied] * 60
     for i, name in enumerate(["Petra", "Noor", "Tomas", "Ines"] * 5):
         rows += [f"Ask {name} <{name.lower()}{i}@a.example> first.", f"Thanks go to {name} for part {i}.", f"Reviewed with {name} in week {i}.", f"Sent along by {name} as draft {i}.", f"The Build of Monday {i} is good.", f"The Release of Friday {i} is good."]
-    found = P.learn(spark.createDataFrame([(t,) for t in rows], "t string"), "t")
+    found = learning(spark, rows)
     assert values(found, "We met Petra and later Ines at noon.") == [("person_name", "Petra"), ("person_name", "Ines")]
     assert values(found, "It says Rafik here.") == [("person_name", "Rafik")]
     assert values(found, "The Build of Monday is good.") == []

@@ -82,7 +82,6 @@ _COMMENT = re.compile(r"[ \t]*(?:#+|//+|--|;+|/?\*+|<!--|%+)[ \t]")
 #: Letters that begin a name, and those that go on.
 _UP, _LOW = "A-ZÀ-ÖØ-ÞŠŽČĆĐŁŚŹŻŃŐŰĞİŞА-ЯЁ", "a-zß-öø-ÿā-žа-яё'’"
 _CAP = re.compile(rf"(?<![\w@.+/-])(?:[{_UP}](?:[{_LOW}]+(?:-[{_UP}][{_LOW}]+)*|\.))(?![\w@])")
-_BEFORE = re.compile(r"(\S+)[ \t]+(\S+)[ \t]+$|(\S+)[ \t]+$")
 _WORD = rf"[{_UP}][{_LOW}]+(?:-[{_UP}][{_LOW}]+)*"
 _RUN = rf"(?:(?:{_WORD}|[{_UP}]\.),? )"
 _EARLIER = re.compile(rf"(?<![\w@.+/,-]){_RUN}{{1,2}}$")
@@ -91,10 +90,12 @@ _BEFORE_ADDRESS = re.compile(rf"(?:^|[\n.!?。！？|>#:/;]\s*|^\W+\s*)({_RUN}{{
 _LAST_FIRST = re.compile(rf"(?<![\w@.+/-])({_WORD}), $")
 _REST = re.compile(rf"(?: [{_UP}]\.)*(?: (?:van |von |de |da |del |di )?{_WORD})?")
 _AFTER_LAST = re.compile(rf", ([{_UP}][{_LOW}]+)")
-#: A number with its signs, or what has a sign of mail in it: the places where a value may be.
-_PLACE = re.compile(r"[+(]?\d(?:[\d ().,:/+-]*\d)?|[\w.+-]+@[\w.-]+")
+#: A number with its signs, and what has a sign of mail in it: the places where a value may be.
+_NUMBER = re.compile(r"[+(]?\d(?:[\d ().,:/+-]*\d)?")
+_MAIL = re.compile(r"(?<![\w.+-])[\w.+-]+@[\w.-]+")
 _DIGIT = re.compile(r"\d")
-_SPACE = re.compile(r"\s+")
+_NO_LETTER = re.compile(r"[\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _LOCAL = re.compile(r"[a-z]{3,}")
 
 
@@ -123,7 +124,7 @@ def patterned(text: str, plain: str) -> list[tuple[int, int, str]]:
             out.append((m.start(), m.end(), "email"))
     at = 0
     for line in plain.split("\n"):
-        if any("0" <= c <= "9" for c in line):
+        if _DIGIT.search(line):
             taken = [(s - at, e - at) for s, e, _ in out if s >= at]
             free = lambda s, e: all(e <= a or s >= b for a, b in taken)  # noqa: B023, E731
             for kind, pattern, group in (("id_number", ID_SHAPE, 0), ("id_number", ID_LABELLED, 1), ("phone", PHONE, 0), ("street_address", ADDRESS, 0)):
@@ -136,15 +137,18 @@ def patterned(text: str, plain: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def words_before(plain: str, start: int) -> list[str]:
+    """The one or two words before a place on its line, within 40 characters; none unless a blank parts them."""
+    seg = plain[max(plain.rfind("\n", 0, start) + 1, start - 40) : start]
+    return seg.split()[-2:] if seg[-1:] in (" ", "\t") else []
+
+
 def context_of(plain: str, start: int) -> str:
     """The one or two words before a term, digits as 0; empty at the start of a line or sentence."""
-    m = _BEFORE.search(plain, max(plain.rfind("\n", 0, start) + 1, start - 40), start)
-    if not m:
+    words = words_before(plain, start)
+    if not words or words[-1][-1] in ".!?:;。！？|/#" or words[-1][0].isupper():
         return ""
-    last = m.group(2) or m.group(3)
-    if last[-1] in ".!?:;。！？|/#" or last[0].isupper():
-        return ""
-    return re.sub(r"\d", "0", f"{m.group(1)} {last}" if m.group(1) else last).lower()
+    return _DIGIT.sub("0", " ".join(words)).lower()
 
 
 def _spelled(term: str, local: str) -> bool:
@@ -173,7 +177,9 @@ _FIELDS = [tuple(f.strip().split(" ")) for f in ROW.split(",")]
 def _organised(plain: str, s: int, e: int) -> bool:
     """Whether the run, with the word behind it, names an organisation."""
     run = plain[s:e]
-    words = re.findall(r"[^\W\d_]+", run + " " + plain[e : e + 14].split("\n")[0])
+    if ORGANISATION.isdisjoint(_LETTERS.findall(plain[s : e + 14].lower())):
+        return False
+    words = _LETTERS.findall(run + " " + plain[e : e + 14].split("\n")[0])
     return any(w.lower() in ORGANISATION for w in words[: len(run.split()) + 1])
 
 
@@ -195,8 +201,8 @@ def scan(text: str) -> list[tuple]:
     marks: Counter = Counter()
 
     def word_before(at: int) -> str:
-        m = _BEFORE.search(plain, max(plain.rfind("\n", 0, at) + 1, at - 40), at)
-        return re.sub(r"[\W\d_]+", "", (m.group(2) or m.group(3)).lower()) if m else ""
+        words = words_before(plain, at)
+        return _NO_LETTER.sub("", words[-1].lower()) if words else ""
 
     for s, e, kind in spans:
         trim = s
@@ -210,22 +216,28 @@ def scan(text: str) -> list[tuple]:
         if before and (m := before.search(plain[lo:s])):
             run = m.group(1).rstrip(" ,")
             rows.append(("run", "person_name", run, f">{kind}", lo + m.start(1), lo + m.start(1) + len(run), 1, None, None, None, None, None, None, None))
-    at = 0
-    for m in _PLACE.finditer(plain):
-        while at < len(spans) and spans[at][1] <= m.start():
-            at += 1
-        if at == len(spans) or spans[at][0] >= m.end():
-            marks.update(features("", m.group(), word_before(m.start())))
+    for pattern in (_NUMBER, _MAIL) if "@" in plain else (_NUMBER,):
+        at = 0
+        for m in pattern.finditer(plain):
+            while at < len(spans) and spans[at][1] <= m.start():
+                at += 1
+            if at == len(spans) or spans[at][0] >= m.end():
+                marks.update(features("", m.group(), word_before(m.start())))
     rows += [("mark", "", f, None, -1, -1, n, None, None, None, None, None, None, None) for f, n in marks.items()]
     streets = [(a, b) for a, b, kind in spans if kind == "street_address"]
+    before = -9
     for m in _CAP.finditer(plain):
         s, e = m.span()
-        last, early, follow = _LAST_FIRST.search(plain, max(0, s - 60), s), _EARLIER.search(plain, max(0, s - 50), s), _AFTER_LAST.match(plain, e)
+        # the patterns are asked only where the signs they need are there
+        last = _LAST_FIRST.search(plain, max(0, s - 60), s) if plain[s - 2 : s] == ", " else None
+        early = _EARLIER.search(plain, max(0, s - 50), s) if before in (s - 1, s - 2) else None
+        follow = _AFTER_LAST.match(plain, e) if plain[e : e + 2] == ", " else None
+        before = e
         back, begin = last.start() if last else -1, early.start() if early else -1
-        follow_e, rest = follow.end() if follow else -1, _REST.match(plain, e).end()
+        follow_e, rest = follow.end() if follow else -1, _REST.match(plain, e).end() if plain[e : e + 1] == " " else e
         org = (begin >= 0 and _organised(plain, begin, e)) + 2 * (follow_e >= 0 and _organised(plain, s, follow_e)) + 4 * _organised(plain, s, rest)
         spelled = any(a <= s < b and _spelled(m.group(), local) for a, b, local in near)
-        rows.append(("cap", "street_address" if any(a <= s < b for a, b in streets) else "", m.group(), context_of(plain, s), s, e, 1, spelled, back, begin, follow.group(1) if follow else None, follow_e, rest, org))
+        rows.append(("cap", "street_address" if streets and any(a <= s < b for a, b in streets) else "", m.group(), context_of(plain, s), s, e, 1, spelled, back, begin, follow.group(1) if follow else None, follow_e, rest, org))
     return rows
 
 

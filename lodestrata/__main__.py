@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.plans import pipeline
 from lodestrata.operators.accounts import accounts_by_location
+from lodestrata.operators.search import total_order
 from lodestrata.sources.files import read_table, users_file
 from lodestrata.sources.sinks import users_path, write_table, write_users
 
@@ -49,7 +50,7 @@ def select(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, DataF
         accounts = made = accounts_by_location(spark.read.parquet(a.owners), a.location, not a.no_orgs, a.max_users)
     found = pipeline.repositories_of(accounts, repositories, a.min_stars, a.include_forks, a.filter)
     if a.max_repos is not None:
-        found = found.orderBy("nwo").limit(a.max_repos)
+        found = found.orderBy(*total_order(found, ["nwo"])).limit(a.max_repos)
     return found, made
 
 

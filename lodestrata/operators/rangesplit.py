@@ -67,9 +67,13 @@ def split_scan(df: DataFrame, day: str, leaves: DataFrame, cap: int, order: list
 
     Adds ``leaf_start`` and ``leaf_pos``. Leaves are spread over their days, which gives an
     equality to join on; there are at most as many as the calendar has days, so they are
-    broadcast. A leaf holds at most ``cap`` rows unless it is a day or two.
+    broadcast; more than ``MAX_DAYS`` are an error. A leaf holds at most ``cap`` rows unless it
+    is a day or two.
     """
-    days = leaves.select(F.col("s").alias("leaf_start"), F.explode(F.sequence("s", "e")).alias("__day")).limit(MAX_DAYS)
+    days = leaves.select(F.col("s").alias("leaf_start"), F.explode(F.sequence("s", "e")).alias("__day"))
+    n = F.count("*").over(Window.partitionBy(F.lit(1)))
+    fits = F.assert_true(n <= MAX_DAYS, f"the leaves have more than {MAX_DAYS} days").isNull()
+    days = days.withColumn("__fits", fits).where("__fits").drop("__fits")
     rows = df.withColumn("__day", F.col(day).cast("date")).join(F.broadcast(days), "__day").drop("__day")
     pos = F.row_number().over(Window.partitionBy("leaf_start").orderBy(*order))
     # filtered as it is, so that every task keeps its first rows of a leaf before the shuffle

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -99,6 +99,26 @@ def _day(x: str) -> date:
         raise SearchError(f"no day: {x!r}") from None
 
 
+def _word_range(c: Column, v: str) -> Column | None:
+    """Between what bounds every spelling of an ASCII word in any case lies, by code point; a comparison that reaches the files.
+
+    The Kelvin sign is the only other character whose lower case is an ASCII letter.
+    """
+    return (c >= v.upper()) & (c <= v.lower().replace("k", "\u212a")) if v and v.isascii() else None
+
+
+def _year_range(c: Column, bounds: list[tuple[str, object]]) -> list[Column]:
+    """Bounds on the text of an ISO time, which begins with its year, from bounds on its day; a day's room for time zones."""
+    day = timedelta(days=1)
+    out = []
+    for op, b in bounds:
+        if op in (">=", ">", "=") and b > date(1001, 1, 1):
+            out.append(c >= f"{(b - day).year:04d}")
+        if op in ("<=", "<", "=") and b < date(9998, 1, 1):
+            out.append(c < f"{(b + day).year + 1:04d}")
+    return out
+
+
 _COMPARE = {">=": Column.__ge__, "<=": Column.__le__, ">": Column.__gt__, "<": Column.__lt__, "=": Column.__eq__}
 
 
@@ -111,6 +131,8 @@ def _condition(t: Term, fields: dict, kinds: dict[str, str]) -> Column:
     c, v = F.col(name), t.value
     if how == "word":
         out = lower_or_empty(c) == v.lower()
+        near = _word_range(c, v)
+        out = out if near is None or t.negated else near & out
     elif how == "part":
         out = contains(c, v)
     elif how == "flag":
@@ -124,9 +146,12 @@ def _condition(t: Term, fields: dict, kinds: dict[str, str]) -> Column:
     elif how == "member":
         items = c if kinds[name].startswith("array") else json_to_list(c)
         out = F.exists(items, lambda x: F.lower(F.trim(x)) == v.lower())
+        out = out if t.negated else c.isNotNull() & out
     else:
         of, x = (_number, c) if how == "number" else (_day, utc_date(c))
-        out = reduce(Column.__and__, (_COMPARE[op](x, F.lit(b)) for op, b in _bounds(v, of)), F.lit(True))
+        bounds = _bounds(v, of)
+        near = [] if how == "number" or t.negated else _year_range(c, bounds)
+        out = reduce(Column.__and__, [*near, *(_COMPARE[op](x, F.lit(b)) for op, b in bounds)], F.lit(True))
     # a plain comparison reaches the files; only a negated term has to settle nulls itself
     return ~F.coalesce(out, F.lit(False)) if t.negated else out
 
@@ -138,15 +163,20 @@ def condition(search: Search | str, df: DataFrame, fields: dict = REPOSITORY) ->
 
 
 def search(df: DataFrame, text: Search | str, limit: int | None = None, tie: str = "nwo", fields: dict = REPOSITORY) -> DataFrame:
-    """Rows that meet the search. Its sort holds with a limit; ties go by ``tie``."""
+    """Rows that meet the search. Its sort holds with a limit; ties go by ``tie``, then by all other columns."""
     s = parse(text) if isinstance(text, str) else text
     out = df.where(condition(s, df, fields))
-    order = ([F.desc_nulls_last(SORTS[s.sort])] if s.sort else []) + [F.asc(tie)]
+    order = ([F.desc_nulls_last(SORTS[s.sort])] if s.sort else []) + total_order(df, [tie])
     if limit is not None:
         return out.orderBy(*order).limit(limit)
     return out.orderBy(*order) if s.sort else out
 
 
+def total_order(df: DataFrame, first: list[str]) -> list[Column]:
+    """``first``, then all other columns that have an order: rows that tie are equal in all of these."""
+    return [F.asc(c) for c in [*first, *(n for n, t in df.dtypes if n not in first and not t.startswith("map"))]]
+
+
 def contains(c: Column | str, needle: str | None) -> Column:
     """Whether the text holds the needle, ignoring case; null is empty text, an empty needle is always held."""
     if not needle:

@@ -54,12 +54,12 @@ def by_query(repositories: DataFrame, query: str, min_stars: int = 1, limit: int
 
 
 def one_repository(repositories: DataFrame, nwo: str) -> DataFrame:
-    """The repository ``owner/name``, at most one row; any other form of the name is an error."""
+    """The repository ``owner/name``, at most one row (the first by all columns); any other form of the name is an error."""
     if len(nwo.split("/")) != 2:
         raise ValueError(f"expected owner/name, got: {nwo}")
     owner, name = nwo.split("/")
     at = (F.col("owner_login") == owner) & (F.col("name") == name)
-    return repositories.where(at).limit(1)
+    return repositories.where(at).orderBy(*S.total_order(repositories, [])).limit(1)
 
 
 def lookup_names(repositories: DataFrame, names: DataFrame, nwo: str = "nwo") -> DataFrame:

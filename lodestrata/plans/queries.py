@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 from datetime import date
@@ -14,7 +15,7 @@ from lodestrata.operators import flatten as P, rangesplit as R, search as S
 from lodestrata.operators.accounts import accounts_by_location, first_occurrence, ordered_limit, valid_logins
 from lodestrata.plans import pipeline as J
 from lodestrata.schema import COLUMNS
-from lodestrata.session import shared_dir, table
+from lodestrata.session import scratch, table
 from lodestrata.sources import files, sinks
 from lodestrata.streaming import ingest as I
 from lodestrata.streaming.progress import observed
@@ -363,53 +364,48 @@ def search_builder(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------- sinks and incremental ingest
 
 
-def _out(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 _ALL = ", ".join(COLUMNS)
 
 
 @query(f"SELECT {_ALL} FROM repositories")
 def parquet_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    path = sinks.write_table(repos(spark, d).select(*COLUMNS), _out(spark, "table"))
+    path = sinks.write_table(repos(spark, d).select(*COLUMNS), scratch(spark, "table"))
     return files.read_table(spark, path)
 
 
 _TEXTS = [c for c in COLUMNS if c not in ("is_fork", "is_archived", "is_private", "is_template", "has_wiki", "has_issues", "stars", "forks", "watchers", "open_issues", "disk_usage_kb", "owner_followers")]
 
 
-@query("SELECT " + ", ".join(f"nullif(replace({c}, chr(13), '<CR>'), '') AS {c}" if c in _TEXTS else c for c in COLUMNS) + " FROM repositories")
+@query("SELECT " + ", ".join(f"nullif({c}, '') AS {c}" if c in _TEXTS else c for c in COLUMNS) + " FROM repositories")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Null and empty are one in CSV. Readers join line ends, so carriage returns are marked first."""
-    marked = repos(spark, d).select(*(F.regexp_replace(c, "\r", "<CR>").alias(c) if c in _TEXTS else F.col(c) for c in COLUMNS))
-    path = sinks.write_table(marked, _out(spark, "table") + ".csv")
+    """Null and empty are one in CSV."""
+    path = sinks.write_table(repos(spark, d).select(*COLUMNS), scratch(spark, "table") + "/t.csv")
     return files.read_table(spark, path).select(*(F.nullif(F.col(c), F.lit("")).alias(c) if c in _TEXTS else F.col(c) for c in COLUMNS))
 
 
 @query("SELECT username FROM usernames WHERE trim(username) <> ''")
 def users_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """A saved account list read back as text."""
-    path = _out(spark, "users")
+    path = scratch(spark, "users")
     sinks.write_users(table(spark, d, "usernames").where(F.trim("username") != ""), path, single=False)
     return files.users_file(spark, path).select("username")
 
 
 @query(f"SELECT {_FLAT} FROM repo_nodes WHERE node IS NOT NULL")
 def incremental_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """All nodes through a stream, stopped and started again in between."""
-    target, checkpoint = _out(spark, "ingested"), _out(spark, "progress")
-    schema = table(spark, d, "repo_nodes").schema
-    for _ in range(2):
-        I.ingest(I.node_stream(spark, d, schema, "repo_nodes.parquet") if not _is_folder(spark, d) else I.node_stream(spark, f"{d}/repo_nodes.parquet", schema), target, checkpoint).awaitTermination()
+    """All nodes through a stream of one file a batch, stopped after its first batches and taken up again."""
+    source, target, checkpoint = (scratch(spark, x) for x in ("nodes", "ingested", "progress"))
+    nodes = table(spark, d, "repo_nodes")
+    nodes.repartition(4, "node_id").write.parquet(source)
+    run = lambda: I.ingest(I.node_stream(spark, source, nodes.schema, files_per_batch=1), target, checkpoint)
+    first = run()
+    while first.isActive and first.lastProgress is None:
+        time.sleep(0.02)
+    first.stop()
+    run().awaitTermination()
     return spark.read.parquet(target)
 
 
-def _is_folder(spark: SparkSession, d: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/repo_nodes.parquet")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
-
-
 @query("SELECT count(*) AS scanned, count(*) FILTER (WHERE stars >= 10) AS matched FROM repositories")
 def observed_counts(spark: SparkSession, d: str) -> DataFrame:
     """Counts taken in flight while another job runs."""
@@ -419,6 +415,67 @@ def observed_counts(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(got["scanned"], got["matched"])], "scanned long, matched long")
 
 
+# ------------------------------------------------- recorded responses
+
+
+def _recorded(spark: SparkSession, pages: DataFrame, data) -> DataFrame:
+    """``data`` of the pages as responses of the service, written a line each and read again."""
+    path = scratch(spark, "responses")
+    pages.select(F.to_json(F.struct(F.to_json(data).alias("data"))).alias("value")).write.text(path)
+    return files.responses(spark, path)
+
+
+@query("SELECT owner_login AS login, owner_type AS kind FROM owners WHERE coalesce(owner_login, '') <> ''")
+def recorded_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Account pages of a hundred, as the service sends them."""
+    node = F.struct(F.col("owner_login").alias("login"), F.col("owner_type").alias("__typename"))
+    pages = table(spark, d, "owners").groupBy(F.floor(F.col("account_id") / 100)).agg(F.struct(F.collect_list(node).alias("nodes")).alias("search"))
+    return files.account_nodes(_recorded(spark, pages, F.struct("search"))).select("login", "kind")
+
+
+@query("SELECT CAST(k AS INTEGER) AS remaining, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS resetAt, 5000 AS \"limit\", CAST(NULL AS INTEGER) AS cost FROM (SELECT ts, CAST(props->>'k' AS BIGINT) AS k FROM events)")
+def quota_records(spark: SparkSession, d: str) -> DataFrame:
+    """What responses report of the quota; a part they leave out is null."""
+    quota = F.struct(F.from_json("props", "k bigint")["k"].alias("remaining"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("resetAt"), F.lit(5000).alias("limit"))
+    return files.quota_records(_recorded(spark, table(spark, d, "events"), F.struct(quota.alias("rateLimit"))))
+
+
+#: In JSON that names its nulls, an organisation's creation time is there and null.
+_NAMED = _FLAT.replace("CASE WHEN node.owner.__typename = 'User' THEN node.owner.createdAt ELSE '' END", "CASE WHEN node.owner IS NULL THEN '' ELSE node.owner.createdAt END")
+
+
+@query(f"SELECT {_NAMED} FROM repo_nodes WHERE node IS NOT NULL")
+def flatten_json_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as JSON text that names its nulls: a null stays one."""
+    nodes = table(spark, d, "repo_nodes").select(F.to_json("node", {"ignoreNullFields": "false"}).alias("node"))
+    return P.stored(P.flatten_json(nodes, "node"))
+
+
+_MISSING = {"name": "''", "description": "''", "homepage_url": "''", "stars": "0", "disk_usage_kb": "0", "pushed_at": "''", "is_fork": "false"}
+
+
+@query("SELECT " + ", ".join(f"coalesce({c}, {x}) AS {c}" for c, x in _MISSING.items()) + f" FROM (SELECT {_FLAT} FROM repo_nodes WHERE node IS NOT NULL)")
+def flatten_json_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as JSON text that leaves its nulls out: what is missing gets its default."""
+    nodes = table(spark, d, "repo_nodes").where("node is not null").select(F.to_json("node").alias("node"))
+    return P.flatten_json(nodes, "node").select(*_MISSING)
+
+
+@query("SELECT owner_login AS username FROM owners WHERE coalesce(owner_login, '') <> '' ORDER BY account_id LIMIT 150")
+def users_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first accounts of a list saved in several files."""
+    path = scratch(spark, "users")
+    accounts = valid_logins(table(spark, d, "owners"), "owner_login")
+    sinks.write_users(accounts.select(F.col("owner_login").alias("username"), F.col("account_id").alias("ord")), path)
+    return files.users_file(spark, path, 150).select("username")
+
+
+@query(_HITS + "lower(coalesce(owner_login, '')) = (SELECT lower(max(owner_login)) FROM repositories)")
+def user_word(spark: SparkSession, d: str) -> DataFrame:
+    login = repos(spark, d).agg(F.max("owner_login")).first()[0] or "none"
+    return S.search(repos(spark, d), S.Search((S.Term("user", login),))).select("fetch_id", "nwo")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Accounts at a place joined to their repositories."""
     return two_step_location(spark, d)

@@ -68,12 +68,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     that reads it starts at a scan with exact sizes, so adaptive execution can use them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    forget_at_exit(spark, path)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python workers can import it."""
     context = spark.sparkContext

@@ -54,9 +54,12 @@ def quota_records(pages: DataFrame) -> DataFrame:
 
 
 def users_file(spark: SparkSession, path: str, max_users: int | None = None) -> DataFrame:
-    """``username, ord`` of a saved account list: text as it is (``007``, ``NA``), repeats kept, in file order."""
+    """``username, ord`` of a saved account list: text as it is (``007``, ``NA``), repeats kept, in
+    the order of the files' names and of the lines in each, which ``ord`` gives. The rows of one
+    split of a file are numbered in turn, whatever order the splits are read in."""
     lines = spark.read.schema("username string").option("header", True).option("escape", "\"").option("emptyValue", "").csv(path)
-    numbered = lines.where(F.col("username").isNotNull()).select("username", F.monotonically_increasing_id().alias("ord"))
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    numbered = lines.select("username", at.alias("ord")).where(F.col("username").isNotNull())
     if max_users is None:
         return numbered
     return numbered.orderBy("ord").limit(max_users) if max_users > 0 else numbered.where(F.lit(False))

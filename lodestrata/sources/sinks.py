@@ -51,7 +51,8 @@ def users_path(path: str) -> str:
     return f"{head}/{stem}_users.csv" if head else f"{stem}_users.csv"
 
 
-def write_users(accounts: DataFrame, path: str, single: bool = True) -> None:
-    """The account list: one column ``username`` with a header, in the order of ``ord`` if there is one."""
+def write_users(accounts: DataFrame, path: str, single: bool = False) -> None:
+    """The account list: one column ``username`` with a header, in the order of ``ord`` if there is
+    one: files are in order of their names. ``single`` gives one file, written by one task."""
     ordered = accounts.orderBy("ord") if "ord" in accounts.columns else accounts
     _files(ordered.select("username"), single).write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)

@@ -120,3 +120,16 @@ def test_modes(spark, repos):
             J.one_repository(repos, bad)
     assert nwos(J.lookup_names(repos, spark.createDataFrame([("a/x",), ("n/n",), ("a/x",)], "nwo string"))) == ["a/x"]
     assert tuple(J.matched_and_scanned(repos, F.col("stars") > 4).first()) == (4, 3)
+
+
+def test_leaves_beyond_the_calendar_are_an_error(spark, monkeypatch):
+    from datetime import date
+
+    from lodestrata.operators import rangesplit as R
+
+    monkeypatch.setattr(R, "MAX_DAYS", 5)
+    rows = spark.createDataFrame([(1, date(2020, 1, 1))], "k long, day date")
+    leaves = lambda e: spark.createDataFrame([(date(2020, 1, 1), e)], "s date, e date")
+    assert R.split_scan(rows, "day", leaves(date(2020, 1, 5)), 10, ["k"]).count() == 1
+    with pytest.raises(Exception, match="more than 5 days"):
+        R.split_scan(rows, "day", leaves(date(2020, 1, 9)), 10, ["k"]).count()

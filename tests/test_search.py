@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, strategies as st
 
 from lodestrata.operators import search as S
@@ -72,3 +73,26 @@ def test_filters_reach_the_files(df, tmp_path, spark):
     pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
     assert "GreaterThanOrEqual(stars,5)" in pushed and "is_fork" in pushed
     assert "topics" not in plan.split("ReadSchema")[1]
+
+
+@pytest.mark.parametrize("text, column", [
+    ("language:kotlin", "primary_language"), ("license:mit", "license_key"), ("user:a", "owner_login"), ("created:2020-01-01..2021-02-02", "created_at"), ("pushed:>=2020-05-05", "pushed_at"),
+    ("updated:<2020-05-05", "updated_at"), ("size:>=1", "disk_usage_kb"), ("stars:1..5", "stars"), ("forks:>2", "forks"), ("archived:true", "is_archived"), ("type:org", "owner_type"), ("topic:cli", "topics"),
+])
+def test_every_qualifier_reaches_the_files(df, tmp_path, spark, text, column):
+    path = str(tmp_path / "t")
+    df.limit(0).write.parquet(path)
+    full = spark.read.parquet(path)
+    full = full.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("primary_language", "string"), ("license_key", "string"), ("owner_login", "string"), ("created_at", "string"), ("pushed_at", "string"), ("updated_at", "string"), ("disk_usage_kb", "long"), ("forks", "long"), ("is_archived", "boolean"), ("owner_type", "string"), ("topics", "string")) if c not in full.columns))
+    full.write.parquet(path + "2")
+    plan = S.search(spark.read.parquet(path + "2"), text).select("nwo")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert f"({column}" in pushed
+
+
+def test_pushed_ranges_lose_nothing(spark):
+    rows = [("PyThOn", "2020-12-31T23:30:00-02:00"), ("python", "2021-01-01T00:30:00+02:00"), ("PYTHON", "2021-01-01T00:00:00Z"), ("pythona", "2021-06-01T00:00:00Z"), ("\u212aotlin", "2020-06-01T00:00:00Z"), (None, None)]
+    df = spark.createDataFrame(rows, "primary_language string, created_at string")
+    count = lambda text: df.where(S.condition(text, df)).count()
+    assert count("language:python") == 3 and count("language:kotlin") == 1 and count("-language:python") == 3
+    assert count("created:2021-01-01") == 2 and count("created:2020-12-31") == 1 and count("created:>=2021-01-01") == 3 and count("created:<2021-01-01") == 2

@@ -12,7 +12,7 @@ from lodestrata.sources import files, sinks
 from lodestrata.sources.paged import PagedSource, ResponseError, checked, pages
 from lodestrata.streaming import ingest as I
 
-HOSTILE = 'quote " comma, new\nline 名'
+HOSTILE = 'quote " comma, new\nline 名 a\r\nb\rc'
 
 
 def flat_row(**k):
@@ -59,6 +59,15 @@ def test_users_file(spark, tmp_path):
     assert sinks.users_path("out/x.parquet") == "out/x_users.csv" and sinks.users_path("x") == "x_users.csv"
 
 
+def test_users_files_in_order(spark, tmp_path):
+    """The head of a list in several files is that of the first, however large the others are."""
+    (tmp_path / "u").mkdir()
+    (tmp_path / "u/part-0.csv").write_text("username\na1\na2\n")
+    (tmp_path / "u/part-1.csv").write_text("username\n" + "".join(f"b{i}\n" for i in range(500)))
+    assert [r.username for r in files.users_file(spark, str(tmp_path / "u"), 3).collect()] == ["a1", "a2", "b0"]
+    assert [r.username for r in files.users_file(spark, str(tmp_path / "u")).orderBy("ord").collect()][:4] == ["a1", "a2", "b0", "b1"]
+
+
 def test_responses(spark, tmp_path):
     good = {"data": {"rateLimit": {"remaining": 9, "resetAt": "2024-01-01T00:00:00Z"}, "search": {"pageInfo": {"hasNextPage": False}, "userCount": 7, "nodes": [{"login": "a", "__typename": "User"}, None, {"login": ""}]}}}
     repo = {"data": {"search": {"repositoryCount": 1, "nodes": [{"name": "r", "owner": {"login": "o", "__typename": "User"}}, None]}}}

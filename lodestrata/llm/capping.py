@@ -14,30 +14,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Most cut points of the chunked ranking; finding a row's chunk takes eight comparisons.
-MAX_CUTS = 255
-#: Rows sampled for the cut points; a bound on what reaches the driver.
-CUT_SAMPLE = 4000
+#: Most cut points of the chunked ranking: beyond MAX_CUTS * chunk_rows rows chunks grow, to no effect but their sorting time.
+MAX_CUTS = 4095
+#: Rows sampled for each cut point; with MAX_CUTS a bound on what reaches the driver.
+SAMPLE_A_CUT = 16
 
 
 def _cuts(rows: DataFrame, n_rows: int, chunk_rows: int) -> list:
     want = min(MAX_CUTS, n_rows // chunk_rows)
     if want < 1:
         return []
-    share = min(1.0, CUT_SAMPLE / max(1, n_rows))
-    got = [tuple(r) for r in rows.select("q", "id").sample(fraction=share, seed=7).limit(2 * CUT_SAMPLE).collect()]
+    most = want * SAMPLE_A_CUT
+    got = [tuple(r) for r in rows.select("q", "id").sample(fraction=min(1.0, most / max(1, n_rows)), seed=7).limit(2 * most).collect()]
     got.sort(key=lambda r: (-r[0], r[1]))
     return [got[len(got) * (i + 1) // (want + 1)] for i in range(want)] if len(got) > want else []
 
 
-def _chunk(key: Column, cuts: list, low: int = 0, high: int | None = None) -> Column:
-    """How many cut points a row ranks after, by halving."""
-    high = len(cuts) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    after = key > F.struct(F.lit(-cuts[mid][0]).alias("a"), F.lit(cuts[mid][1]).alias("b"))
-    return F.when(after, _chunk(key, cuts, mid + 1, high)).otherwise(_chunk(key, cuts, low, mid))
+def _chunk(key: Column, cuts: list) -> Column:
+    """How many cut points a row ranks after: a search by halving steps in an array of constants."""
+    if not cuts:
+        return F.lit(0)
+    all_cuts = F.array(*(F.struct(F.lit(-q).alias("a"), F.lit(i).alias("b")) for q, i in cuts))
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def onward(at: Column, step: Column) -> Column:
+        after = (at + step <= len(cuts)) & (key > F.get(all_cuts, at + step - 1))
+        return F.when(after, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), onward)
 
 
 def chunked_rank(df: DataFrame, keys: list[str], n_rows: int, chunk_rows: int = 200_000) -> DataFrame:
@@ -58,46 +62,48 @@ def chunked_rank(df: DataFrame, keys: list[str], n_rows: int, chunk_rows: int =
 
 
 def apportion(sizes: DataFrame, keys: list[str], cap: Column) -> DataFrame:
-    """``sizes`` has ``keys``, ``stratum`` and ``n``; adds ``slots``, the records that stay.
-
-    A contributor within its cap keeps all. Otherwise the quota of a stratum is
-    ``cap * n / total``; floors are given first, the remaining slots by the largest
-    remainder, ties by stratum. As quotas are proportional to sizes, no quota exceeds
-    its stratum unless the cap exceeds the total; spare slots after rounding up cannot
-    arise except where ``n`` is below the rounded quota, and these are redistributed
-    to strata with room in the order of their remainders.
+    """``sizes`` has ``keys``, ``stratum``, ``n`` and ``weight``; adds ``slots``, the records that stay.
+
+    A contributor within its cap keeps all. Otherwise the cap is split over its strata in
+    proportion to their weights (not negative; if all are 0, to their sizes). A stratum with
+    fewer records than its quota is filled, and the slots it spares are split among the
+    others, again by weight, until none has too few: strata are filled in ascending order of
+    records per weight, as long as what is left per weight reaches that. The rest get the
+    floors of their quotas, and the remaining slots go to the largest remainders, ties by
+    stratum.
     """
     by = Window.partitionBy(*keys)
-    t = sizes.withColumn("__total", F.sum("n").over(by)).withColumn("__cap", cap.cast("long"))
-    quota = F.col("__cap").cast("decimal(38,0)") * F.col("n")
+    t = sizes.withColumns({"__total": F.sum("n").over(by), "__cap": cap.cast("long"), "__w": F.when(F.sum("weight").over(by) > 0, F.col("weight")).otherwise(F.col("n")).cast("decimal(18,0)")})
+    # strata of no weight come last: they are filled only if slots are left when all others are full
+    order = by.orderBy(F.when(F.col("__w") > 0, F.col("n") / F.col("__w").cast("double")).otherwise(float("inf")), F.asc_nulls_first("stratum"))
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    t = t.withColumns({"__left": F.col("__cap") - F.coalesce(F.sum("n").over(before), F.lit(0)), "__weights": F.sum("__w").over(behind)})
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    fills = F.when(F.col("__weights") > 0, wide("__left") * F.col("__w") >= wide("n") * F.col("__weights")).otherwise(F.col("__left") >= F.col("n"))
+    # once a stratum is not filled, none behind it is
+    t = t.withColumn("__full", F.min(F.when(fills & (F.col("__left") > 0), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    t = t.withColumns({"__room": F.col("__cap") - F.sum(F.when(F.col("__full"), F.col("n")).otherwise(0)).over(by), "__open": F.sum(F.when(F.col("__full"), 0).otherwise(F.col("__w"))).over(by)})
+    share = wide("__room") * F.col("__w")
     t = t.withColumns({
-        "__floor": F.least(F.col("n"), F.floor(quota / F.col("__total")).cast("long")),
-        "__rest": (quota % F.col("__total").cast("decimal(38,0)")).cast("decimal(38,0)"),
+        "__floor": F.when(F.col("__full"), F.col("n")).when(F.col("__open") > 0, F.floor(share / F.col("__open"))).otherwise(0).cast("long"),
+        "__rest": F.when(~F.col("__full") & (F.col("__open") > 0), share % F.col("__open")).otherwise(0),
     })
-    # a stratum takes up to its room beyond the floor: one slot per round, rounds in order of remainder
-    t = t.withColumn("__left", F.greatest(F.lit(0), F.col("__cap") - F.sum("__floor").over(by)))
-    order = by.orderBy(F.desc("__rest"), F.asc_nulls_first("stratum"))
-    room = F.when(F.col("n") > F.col("__floor"), 1).otherwise(0)
-    t = t.withColumn("__turn", F.sum(room).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.when((room == 1) & (F.col("__turn") <= F.col("__left")), 1).otherwise(0)
-    t = t.withColumn("__slots", F.col("__floor") + first)
-    # what is still spare goes to any stratum with room, in the same order
-    t = t.withColumn("__spare", F.greatest(F.lit(0), F.col("__cap") - F.sum("__slots").over(by)))
-    behind = F.sum(F.col("n") - F.col("__slots")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - (F.col("n") - F.col("__slots"))
-    t = t.withColumn("__more", F.least(F.col("n") - F.col("__slots"), F.greatest(F.lit(0), F.col("__spare") - behind)))
-    slots = F.when(F.col("__total") <= F.col("__cap"), F.col("n")).otherwise(F.col("__slots") + F.col("__more"))
+    spare = F.col("__cap") - F.sum("__floor").over(by)
+    turn = F.row_number().over(by.orderBy(F.col("__full"), F.desc("__rest"), F.asc_nulls_first("stratum")))
+    slots = F.when(F.col("__total") <= F.col("__cap"), F.col("n")).otherwise(F.least(F.col("n"), F.col("__floor") + F.when(~F.col("__full") & (turn <= spare), 1).otherwise(0)))
     return t.select(*keys, "stratum", "n", slots.cast("long").alias("slots"))
 
 
 def cap_contributors(df: DataFrame, contributor: str, quality: str, ident: str, *, max_count: int | None = None,
-                     max_share: tuple[int, int] | None = None, stratum: Column | None = None, chunk_rows: int = 200_000) -> DataFrame:
+                     max_share: tuple[int, int] | None = None, stratum: Column | None = None, even: bool = False, chunk_rows: int = 200_000) -> DataFrame:
     """``df`` with a column ``kept``: false where the record exceeds its contributor's cap.
 
     ``max_share=(a, b)`` caps at ``floor(N * a / b)`` of the ``N`` rows, ``max_count`` at a
     number; with both the smaller holds. ``ident`` must be unique and an integer (rows with a
     null one rank last, in no order); ``quality`` numeric, nulls and NaN rank last, ties go
     to the smaller ``ident``. A null contributor is a contributor of its own, a null
-    stratum a stratum of its own. An empty table stays empty. All other columns pass
+    stratum a stratum of its own. A contributor's cap is split over its strata by their sizes,
+    or with ``even`` in equal parts, of which small strata spare some. An empty table stays empty. All other columns pass
     through, whatever their names; an input column ``kept`` is replaced.
     """
     if max_count is None and max_share is None:
@@ -117,7 +123,7 @@ def cap_contributors(df: DataFrame, contributor: str, quality: str, ident: str,
     marked = rows.join(hot, F.col("owner").eqNullSafe(F.col("hot")), "left").drop("hot")
     calm = marked.where("is_hot is null").select("row", F.lit(True).alias("kept"))
     busy = marked.where("is_hot").drop("is_hot")
-    sizes = busy.groupBy("owner", "stratum").agg(F.count("*").alias("n"))
+    sizes = busy.groupBy("owner", "stratum").agg(F.count("*").alias("n")).withColumn("weight", F.lit(1) if even else F.col("n"))
     slots = apportion(sizes, ["owner"], F.lit(cap)).select(F.col("owner").alias("so"), F.col("stratum").alias("ss"), "slots")
     ranked = chunked_rank(busy, ["owner", "stratum"], n, chunk_rows)
     judged = ranked.join(slots, F.col("owner").eqNullSafe(F.col("so")) & F.col("stratum").eqNullSafe(F.col("ss")), "inner")

@@ -48,6 +48,17 @@ def p1_capped_by_year(spark: SparkSession, d: str) -> DataFrame:
     return capped.where("kept").select("repo_id", "owner", "year")
 
 
+@query
+def p1_capped_by_language(spark: SparkSession, d: str) -> DataFrame:
+    """The capped set with each owner's slots split evenly over languages; spare slots go to the others."""
+    from lodestrata.llm.capping import cap_contributors, latest
+
+    rows = latest(table(spark, d, "repositories"), "repo_id", ["owner_login", "stars", "primary_language"])
+    rows = rows.select("repo_id", F.lower(F.trim("owner_login")).alias("owner"), "stars", F.coalesce("primary_language", F.lit("")).alias("language")).where("owner <> ''")
+    capped = cap_contributors(rows, "owner", "stars", "repo_id", max_share=(2, 100), stratum=F.col("language"), even=True)
+    return capped.where("kept").groupBy("owner", "language").agg(F.count("*").alias("kept"))
+
+
 _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY fetched_at DESC, fetch_id DESC) rn FROM repositories) WHERE rn = 1)"""
 _OWNED = f"""{_LATEST}, owned AS (SELECT repo_id, lower(trim(owner_login, ' ')) AS owner, stars, coalesce(substr(created_at, 1, 4), '') AS year
 FROM latest WHERE trim(owner_login, ' ') <> ''), cap AS (SELECT count(*) * 2 // 100 AS cap FROM owned)"""
@@ -63,6 +74,14 @@ ranked AS (SELECT repo_id, owner, year, row_number() OVER (PARTITION BY owner, y
 SELECT repo_id, owner, year FROM ranked JOIN slots USING (owner, year) WHERE pos <= slots"""
 
 
+SQL["p1_capped_by_language"] = f"""WITH RECURSIVE {_LATEST}, owned AS (SELECT repo_id, lower(trim(owner_login, ' ')) AS owner, coalesce(primary_language, '') AS language FROM latest WHERE trim(owner_login, ' ') <> ''),
+cap AS (SELECT count(*) * 2 // 100 AS cap FROM owned), sizes AS (SELECT owner, language, count(*) AS n, sum(count(*)) OVER (PARTITION BY owner) AS total FROM owned GROUP BY 1, 2),
+dealt(owner, language, n, total, cap, slots, step) AS (SELECT owner, language, n, total, cap, CAST(0 AS BIGINT), 0 FROM sizes, cap WHERE total > cap
+  UNION ALL SELECT owner, language, n, total, cap, CASE WHEN turn <= room THEN slots + 1 ELSE slots END, step + 1 FROM (SELECT *, cap - sum(slots) OVER (PARTITION BY owner) AS room,
+    CASE WHEN slots < n THEN row_number() OVER (PARTITION BY owner ORDER BY slots >= n, language) END AS turn FROM dealt) WHERE room > 0)
+SELECT owner, language, n AS kept FROM sizes, cap WHERE total <= cap UNION ALL SELECT owner, language, max(slots) AS kept FROM dealt GROUP BY 1, 2 HAVING max(slots) > 0"""
+
+
 # ---------------------------------------------------------------- 2
 
 
@@ -114,6 +133,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return linked_ids(_contents(spark, d)).select(F.col("id_a").alias("repo_id_a"), F.col("id_b").alias("repo_id_b"))
 
 
+#: Brute force: all pairs that share a run of three words.
+SQL["p3_found"] = """WITH content AS (SELECT DISTINCT repo_id, regexp_extract_all(lower(coalesce(description, '') || ' ' || coalesce(readme_content, '')), '[\\p{L}\\p{N}]+') AS w FROM repositories),
+runs AS (SELECT DISTINCT repo_id, hash(w) AS text, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS run FROM content WHERE len(w) >= 62),
+sizes AS (SELECT repo_id, text, count(*) AS n FROM runs GROUP BY ALL HAVING count(*) >= 60), kept AS (SELECT r.repo_id, r.text, r.run, s.n FROM runs r JOIN sizes s USING (repo_id, text)),
+pairs AS (SELECT a.repo_id AS x, b.repo_id AS y, a.text AS tx, b.text AS ty, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS c FROM kept a JOIN kept b ON a.run = b.run AND a.repo_id < b.repo_id GROUP BY ALL)
+SELECT DISTINCT x AS repo_id_a, y AS repo_id_b FROM pairs WHERE 2 * c >= nx + ny - c"""
+
+
 @query
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     """The group of copies and reworked versions each repository belongs to."""
@@ -168,12 +195,13 @@ def p7_entities(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- 8 and 9
 
 
-def _packed(spark: SparkSession, d: str) -> DataFrame:
+def _packed(spark: SparkSession, d: str, both: bool = False):
     from lodestrata.llm.packing import pack_documents
     from lodestrata.llm.tokens import token_counts
 
     counted = token_counts(spread(table(spark, d, "documents"), "doc_id"), ["doc_id"], "text")
-    return pack_documents(counted, "doc_id", table(spark, d, "container_sizes"))
+    packed = pack_documents(counted, "doc_id", table(spark, d, "container_sizes"))
+    return (packed, counted) if both else packed
 
 
 @query
@@ -190,6 +218,21 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(_packed(spark, d), table(spark, d, "container_sizes"))
 
 
+@query
+def p8_kept_promises(spark: SparkSession, d: str) -> DataFrame:
+    """Per container size: documents packed, containers over their capacity, documents split though they fit, documents not whole."""
+    packed, counted = _packed(spark, d, both=True)
+    caps = table(spark, d, "container_sizes").select("container_name", "capacity_tokens")
+    boxes = packed.groupBy("container_name", "container_id").agg(F.sum("n_tokens").alias("held")).join(caps, "container_name")
+    over = boxes.groupBy("container_name").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("overfull"))
+    parts = packed.groupBy("container_name", "doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("held")).join(counted, "doc_id").join(caps, "container_name")
+    kept = parts.groupBy("container_name").agg(F.count("*").alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= F.col("capacity_tokens"))).alias("split_though_fitting"), F.count_if(F.col("held") != F.col("n_tokens")).alias("not_whole"))
+    return kept.join(over, "container_name").select("container_name", "documents", "overfull", "split_though_fitting", "not_whole")
+
+
+SQL["p8_kept_promises"] = """SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split_though_fitting, CAST(0 AS BIGINT) AS not_whole FROM container_sizes"""
+
+
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     from lodestrata.llm.mixing import mix_sources
     from lodestrata.llm.tokens import token_counts
@@ -214,6 +257,24 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(_mixed(spark, d), table(spark, d, "mix_targets"))
 
 
+@query
+def p9_kept_promises(spark: SparkSession, d: str) -> DataFrame:
+    """Per mix and source: documents used too often or from another source, and whether the share is missed by the mix's median text or more."""
+    from lodestrata.llm.mixing import mix_report
+
+    mixed, targets = _mixed(spark, d), table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").select("text", F.col("source").alias("held"), "doc_id")
+    same = docs.select(F.xxhash64("text").alias("h"), "held").where("held is not null").distinct()
+    of = mixed.join(docs.select("doc_id", F.xxhash64("text").alias("h")), "doc_id").join(same.withColumnRenamed("held", "source").withColumn("is_held", F.lit(True)), ["h", "source"], "left")
+    used = of.join(targets.select("mix_name", "source", "max_repeats"), ["mix_name", "source"]).groupBy("mix_name", "source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("used_too_often"), F.count_if(F.col("is_held").isNull()).alias("from_elsewhere"))
+    typical = mixed.groupBy("mix_name").agg(F.percentile_approx("n_tokens", 0.5).alias("text"))
+    report = mix_report(mixed, targets).select("mix_name", "source", "gap_tokens")
+    return report.join(used, ["mix_name", "source"]).join(typical, "mix_name").select("mix_name", "source", "used_too_often", "from_elsewhere", (F.abs("gap_tokens") >= F.col("text")).alias("share_missed"))
+
+
+SQL["p9_kept_promises"] = "SELECT mix_name, source, CAST(0 AS BIGINT) AS used_too_often, CAST(0 AS BIGINT) AS from_elsewhere, false AS share_missed FROM mix_targets"
+
+
 # ---------------------------------------------------------------- 4
 
 

@@ -109,7 +109,7 @@ def cooccurrence(baskets: DataFrame, items: str = "items", group: str = "field",
     gram = cells.groupBy("code_a", "code_b").agg(F.sum("n_ab").alias("n_ab")).where(F.col("n_ab") >= min_count)
     left = marginal.select(F.col("code").alias("code_a"), "field", F.col("item").alias("x"), F.col("n_item").alias("n_x"))
     right = marginal.select(F.col("code").alias("code_b"), F.col("field").alias("field_b"), F.col("item").alias("y"), F.col("n_item").alias("n_y"))
-    named = gram.join(left, "code_a").join(right, "code_b").where(F.col("field") == F.col("field_b")).join(F.broadcast(total), "field")
+    named = gram.join(left, "code_a").join(right, "code_b").where(F.col("field") == F.col("field_b")).join(total, "field")
     swap = F.col("x") < F.col("y")
     named = named.select(
         F.col("field").alias(group), F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "n_ab",

@@ -107,3 +107,13 @@ def test_list_baskets(spark):
     df = spark.createDataFrame(rows, "fetch_id long, repo_id long, topics string, languages string, fetched_at long")
     got = {(r.repo_id, r.field): r["items"] for r in list_baskets(df).collect()}
     assert got[1, "topics"] == ["a"] and not got[2, "topics"] and not got[1, "languages"]
+
+
+def test_even_strata_spare_slots_for_others(spark):
+    """Twelve slots over strata of 1, 3, 20 and 30 records: 1, 3, 4 and 4."""
+    rows = [(i, "o", i, s) for i, s in enumerate("a" * 1 + "b" * 3 + "c" * 20 + "d" * 30)] + [(100, "small", 1, "a"), (101, None, 1, None)]
+    df = spark.createDataFrame(rows, "id long, who string, q int, s string")
+    kept = cap_contributors(df, "who", "q", "id", max_count=12, stratum=F.col("s"), even=True).where("kept").collect()
+    by = {k: sum(1 for r in kept if r.who == "o" and r.s == k) for k in "abcd"}
+    assert by == {"a": 1, "b": 3, "c": 4, "d": 4} and len(kept) == 14
+    assert {r.id for r in kept if r.s == "c"} == {20, 21, 22, 23}

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm.dartminhash import Darts, groups, level, linked_ids, near_duplicates, pack, signatures, unpack
+from lodestrata.llm.dartminhash import SKETCH, UNLIKELY, Darts, alike, groups, least_common, level, linked_ids, near_duplicates, pack, signatures, unpack
 from lodestrata.llm.hashing import mix
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -165,3 +166,25 @@ def test_cap_at_the_threshold_itself():
     assert (level(w, np.array([0, 10]), (1, 2)) == 0.1).all()
     assert (level(w, np.array([0, 10]), (3, 5)) == w).all()
     assert (level(np.array([0.5]), np.array([0, 0, 1, 1]), (1, 2)) == 0.5).all()
+
+
+def test_sketches_keep_links_and_drop_unlike_pairs():
+    rng = np.random.default_rng(2)
+    need = least_common(1, 2)
+    below = lambda c: sum(math.comb(SKETCH, i) for i in range(c)) / 2**SKETCH
+    assert below(int(need[SKETCH])) <= UNLIKELY < below(int(need[SKETCH]) + 1) and need[1] == 0 and (np.diff(need) >= 0).all()
+
+    def kept(similar, times=2000):
+        xs, ys = [], []
+        for _ in range(times):
+            pool = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+            common = int(300 * similar)
+            own = (300 - common) // 2
+            xs.append(np.sort(pool[: common + own])[:SKETCH])
+            ys.append(np.sort(np.concatenate([pool[:common], pool[common + own :]]))[:SKETCH])
+        starts = lambda z: np.concatenate([[0], np.cumsum([len(v) for v in z])])
+        return alike(np.concatenate(xs), starts(xs), np.concatenate(ys), starts(ys), need).mean()
+
+    assert kept(0.5) == 1 and kept(0.9) == 1 and kept(0.05) < 0.02
+    few = np.array([1, 2, 3], np.uint64)
+    assert alike(few, np.array([0, 3]), few, np.array([0, 3]), need).all() and alike(few[:0], np.array([0, 0]), few, np.array([0, 3]), need).shape == (1,)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm.dartminhash import SKETCH, UNLIKELY, Darts, alike, groups, least_common, level, linked_ids, near_duplicates, pack, signatures, unpack
+from lodestrata.llm.dartminhash import SKETCH, UNLIKELY, Darts, Duplicates, alike, groups, least_common, level, linked_ids, near_duplicates, pack, signatures, unpack
 from lodestrata.llm.hashing import mix
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -188,3 +188,11 @@ def test_sketches_keep_links_and_drop_unlike_pairs():
     assert kept(0.5) == 1 and kept(0.9) == 1 and kept(0.05) < 0.02
     few = np.array([1, 2, 3], np.uint64)
     assert alike(few, np.array([0, 3]), few, np.array([0, 3]), need).all() and alike(few[:0], np.array([0, 0]), few, np.array([0, 3]), need).shape == (1,)
+
+
+def test_a_chain_of_ten_thousand_links_is_one_group(spark):
+    n = 10_000
+    ids = spark.range(n + 1)
+    links = ids.where(f"id < {n}").select(F.col("id").alias("rep_a"), (F.col("id") + 1).alias("rep_b"), F.lit(1).alias("common"), F.lit(1).alias("either"))
+    rows = groups(Duplicates(ids.select("id", F.col("id").alias("rep")), ids.limit(0), links))
+    assert rows.count() == n + 1 and rows.where("group_id <> 0").count() == 0

@@ -159,9 +159,10 @@ def _slipped(core: list[str], kind: str | None) -> set[str]:
     order of their words, or by an edit or missing blanks where they are written on in turn.
 
     A form of L letters belongs to at most (L + 1) * alphabet names of one edit, so none is hot.
+    Written on from any word, up to two words take every order, so edits inside them are there too.
     """
     tail = f"#{kind or ''}"
-    words = sorted(core)
+    words = sorted(core) if len(core) > 2 else []
     rest = [" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))]
     inside = {f"{r}|{s}{tail}" for r, w in zip(rest, words) for s in slips(w)}
     return inside | {s + tail for f in together(core) for s in slips(f)}
@@ -208,31 +209,42 @@ def link_names(names: DataFrame, name: str, least_score: float = 0.9) -> DataFra
     keyed = materialize(parsed.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("spellings"), F.min(F.struct("core", "kind")).alias("x")).select("key", "n", "spellings", "x.*"), "keys")
     schema = "key string, form string, grade int"
     # one slip away: deletion forms, equi-joined and verified; the less frequent key follows the more frequent
-    slip = keyed.select("key", "core", "kind").mapInArrow(_exploded(_slipped), schema).select("key", "form").distinct()
-    a, b = slip.select(F.col("key").alias("a"), "form"), slip.select(F.col("key").alias("b"), "form")
-    met = a.join(b, "form").where("a <> b").select("a", "b").distinct()
+    # keys and forms travel as hashes; a key's forms are a set, and what meets by chance is not near
+    slip = keyed.select("key", "core", "kind").mapInArrow(_exploded(_slipped), schema).select(F.xxhash64("key").alias("id"), F.xxhash64("form").alias("form"))
+    a, b = slip.select(F.col("id").alias("id_a"), "form"), slip.select(F.col("id").alias("id_b"), "form")
+    met = _merge(a, b, "form").where("id_a <> id_b").select("id_a", "id_b").distinct()
     text = F.concat_ws(" #", F.array_join("core", " "), "kind")
-    w = lambda p: keyed.select(F.col("key").alias(p), F.struct("n", "spellings").alias(f"w{p}"), text.alias(f"text_{p}"))
-    met = met.join(w("a"), "a").join(w("b"), "b").where((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b"))))
+    w = lambda p: keyed.select(F.xxhash64("key").alias(f"id_{p}"), F.col("key").alias(p), F.struct("n", "spellings").alias(f"w{p}"), text.alias(f"text_{p}"))
+    met = _merge(_merge(met, w("a"), "id_a"), w("b"), "id_b").where((F.col("wa") < F.col("wb")) | ((F.col("wa") == F.col("wb")) & (F.col("a") > F.col("b"))))
     met = met.where(F.pandas_udf(_near, "boolean")("text_a", "text_b"))
     follow = _ends(met.groupBy("a").agg(F.max_by("b", F.struct("wb", F.col("b"))).alias("to")))
-    settled = materialize(keyed.join(follow.select(F.col("a").alias("key"), F.col("to").alias("entity")), "key", "left").withColumn("entity", F.coalesce("entity", "key")), "settled")
+    settled = materialize(_merge(keyed, follow.select(F.col("a").alias("key"), F.col("to").alias("entity")), "key", "left").withColumn("entity", F.coalesce("entity", "key")), "settled")
     # every order in which an organisation was written has reduced forms of its own
     of = settled.select("key", "entity")
-    orders = parsed.where("kind is not null").select("key", "core", "kind").distinct().join(of, "key")
+    orders = _merge(parsed.where("kind is not null").select("key", "core", "kind").distinct(), of, "key")
     weight = settled.where("kind is not null").groupBy("entity").agg(F.sum("n").alias("n"))
-    forms = orders.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity").join(weight, "entity")
+    forms = _merge(orders.select("entity", "core", "kind").mapInArrow(_exploded(short_forms), schema).distinct().withColumnRenamed("key", "entity"), weight, "entity")
     rare = forms.groupBy("form", "grade").agg(F.sum("n").alias("sharing"), F.max(F.struct("n", F.col("entity"))).alias("top"))
     # a legal form may also be initials, so the name is looked up with it as well
     short = parsed.where("kind is null").select("key", "core", "said").distinct()
     reduced = short.select("key", F.explode(F.array_distinct(F.array("said", "key", F.array_join("core", " "), F.array_join("core", "")))).alias("form")).distinct()
     score = F.col("top.n") / F.col("sharing")
-    best = reduced.join(rare, "form").groupBy("key").agg(F.min_by(F.struct(score.alias("score"), F.col("top.entity").alias("to")), F.struct("grade", -score, "top.entity")).alias("x"))
+    best = _merge(reduced, rare, "form").groupBy("key").agg(F.min_by(F.struct(score.alias("score"), F.col("top.entity").alias("to")), F.struct("grade", -score, "top.entity")).alias("x"))
     joined = materialize(best.where(F.col("x.score") >= least_score).select("key", F.col("x.to").alias("to")), "joined")
     # a reduced name that follows another one goes where that one goes
-    entity = of.join(joined, "key", "left").join(joined.select(F.col("key").alias("entity"), F.col("to").alias("further")), "entity", "left")
+    entity = _merge(_merge(of, joined, "key", "left"), joined.select(F.col("key").alias("entity"), F.col("to").alias("further")), "entity", "left")
     entity = entity.select("key", F.coalesce("to", "further", "entity").alias("entity"))
-    return parsed.select("value", "key").join(entity, "key").select("value", "entity")
+    return _merge(parsed.select("value", "key"), entity, "key").select("value", "entity")
+
+
+def _merge(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the names, never broadcast.
+
+    By its own estimate Spark would: it knows the size of the compressed files that a side
+    starts from, but not how many forms Python makes of each name, and a join once planned as
+    a broadcast stays one when the real size is known. The driver builds what is broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 def _ends(follow: DataFrame) -> DataFrame:
@@ -244,12 +256,12 @@ def _ends(follow: DataFrame) -> DataFrame:
     while True:
         follow = materialize(follow, "follows")
         on = follow.select(F.col("a").alias("to"), F.col("to").alias("far"))
-        if follow.join(on, "to", "left_semi").limit(1).count() == 0:
+        if _merge(follow, on, "to", "left_semi").limit(1).count() == 0:
             return follow
-        follow = follow.join(on, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
+        follow = _merge(follow, on, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
 
 
 def variant_pairs(linked: DataFrame) -> DataFrame:
     """``name_a < name_b`` (by code point), both naming the same organisation."""
     a, b = linked.select(F.col("value").alias("name_a"), "entity"), linked.select(F.col("value").alias("name_b"), "entity")
-    return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")
+    return _merge(a, b, "entity").where("name_a < name_b").select("name_a", "name_b")

@@ -83,6 +83,26 @@ def test_names(spark):
     assert pairs == {(a, b) for g in SAME for a in g for b in g if a < b}
 
 
+def test_names_are_not_broadcast(spark):
+    """The driver builds what is broadcast, and every side of these joins grows with the names; the plans are those that ran."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+
+    def executions():
+        bus.waitUntilEmpty(30_000)
+        ran = store.executionsList()
+        return {ran.apply(i).executionId() for i in range(ran.size())}
+
+    before = executions()
+    rows = [(v,) for group in SAME for v in group]
+    assert variant_pairs(link_names(spark.createDataFrame(rows, "company string"), "company")).collect()
+    nodes = []
+    for execution in executions() - before:
+        graph = store.planGraph(execution).allNodes()
+        nodes += [graph.apply(i).name() for i in range(graph.size())]
+    assert sum(n.startswith("SortMergeJoin") for n in nodes) >= 10
+    assert not [n for n in nodes if "Broadcast" in n]
+
+
 def test_names_edges(spark):
     assert link_names(spark.createDataFrame([], "c string"), "c").count() == 0
     long = "x" * 3000 + " Bank"
